@@ -11,13 +11,13 @@
    threshold go. The rest are confirmed on the full sets, recomputed from the texts.
 4. Components of the confirmed links. Buckets that still hold several components
    are joined with themselves on the band key, with the estimate inside the join
-   condition; first one best pair for each two components, then all that remain
-   between components. So a pair that shares a band is either in one component
+   condition, each pair in the first band that it shares; first one best pair for
+   each two components, then all that remain between components. So a pair that shares a band is either in one component
    already, far below the threshold by estimate, or confirmed exactly.
 
 With 32 bands of 5 rows a pair at similarity 0.8 shares no band with probability
-3e-6, one at 0.85 with 2e-8. The estimate (160 minima) drops a pair only when it
-is six standard deviations below the threshold.
+3e-6, one at 0.85 with 2e-8. The estimate (320 minima of four bits) drops a pair
+only when it is 4.5 standard deviations (0.105) below the threshold.
 
 Nulls and empty texts have empty sets and are linked with nothing. Texts of fewer
 than k words are one shingle. Rows that share a doc_id are one node: their links
@@ -39,12 +39,13 @@ from . import textblocks as tb
 from .components import connected_components
 from .shared import cut, free_name
 
-BANDS, ROWS, BITS = 32, 5, 2
-MINIMA = BANDS * ROWS
+BANDS, ROWS = 32, 5
+#: Minima of a signature (the first BANDS * ROWS also make the bands) and the low bits kept of each.
+MINIMA, BITS = 320, 4
 #: Longs of a packed signature.
 LONGS = MINIMA * BITS // 64
 #: Standard deviations below the threshold at which an estimate drops a pair.
-MARGIN = 6.0
+MARGIN = 4.5
 
 _rng = np.random.default_rng(97)
 _MULT = (_rng.integers(0, 2**31, MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -136,12 +137,15 @@ def _sign(k: int):
 
 def _same(a: str, b: str) -> Column:
     """Matching minima of two packed signatures, by bit counts."""
-    ones = sum(1 << i for i in range(0, 64, BITS))
+    lanes = sum(1 << i for i in range(0, 64, BITS))
     total: Column = F.lit(0)
     for i in range(LONGS):
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        differ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(ones if ones < 2**63 else ones - 2**64)) if BITS == 2 else x
-        total = total + F.bit_count(differ)
+        shift = 1
+        while shift < BITS:  # gather each lane's bits in its lowest
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+            shift *= 2
+        total = total + F.bit_count(x.bitwiseAND(F.lit(lanes if lanes < 2**63 else lanes - 2**64)))
     return F.lit(MINIMA) - total
 
 
@@ -206,24 +210,28 @@ def near_duplicate_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: i
     classes = known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     # Members of each class; a doc_id in several classes links them.
     member = known.select("set_a", "set_b", "n_shingles", "doc_id").distinct().join(classes, ["set_a", "set_b", "n_shingles"]).select(F.col("doc_id").alias("b"), F.col("rep").alias("a")).where("a != b")
-    reps = cut(known.join(classes.select(*("set_a set_b n_shingles".split()), F.col("rep").alias("doc_id")), ["set_a", "set_b", "n_shingles", "doc_id"], "left_semi").groupBy("doc_id", "set_a", "set_b").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")).drop("set_a", "set_b"))
-    sigs = reps.select("doc_id", "sig")
+    reps = known.join(classes.select("set_a", "set_b", "n_shingles", F.col("rep").alias("doc_id")), ["set_a", "set_b", "n_shingles", "doc_id"], "left_semi")
+    reps = cut(reps.groupBy("doc_id", "set_a", "set_b").agg(*(F.first(c).alias(c) for c in ("bands", "sig", "n_shingles"))).drop("set_a", "set_b"))
+    sigs = reps.select("doc_id", "sig", F.col("n_shingles").alias("n"))
     bands = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"))
     buckets = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("band", "a")
     shared = cut(bands.join(buckets, "band"))
     star = shared.where("a != node").select("a", F.col("node").alias("b")).distinct()
     low = cutoff(num / den)
-    near = lambda pairs: pairs.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b").join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").where(estimate("sa", "sb") >= low).select("a", "b")
-    tried = cut(near(star).distinct())
+    # Sets of very different sizes can't be similar enough.
+    fits = lambda x, y: (den * F.least(x, y) >= num * F.greatest(x, y)) & (estimate(f"sig_{x[-1]}", f"sig_{y[-1]}") >= low)
+    of = lambda s: sigs.select(F.col("doc_id").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"))
+    tried = cut(star.join(of("b"), "b").join(of("a"), "a").where(fits("n_a", "n_b")).select("a", "b").distinct())
     links = cut(_verified(tried, docs, k, num, den))
     linked = connected_components(links)
     # Buckets that hold several components; the component of an unlinked class is itself.
-    for last in (False, False, True):
+    for last in (False, True):
         here = shared.select("band", "node").join(linked.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         mixed = here.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("band")
-        here = here.join(mixed, "band").join(sigs.withColumnRenamed("doc_id", "node"), "node")
-        x, y = (here.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "c", "sig"))) for s in "xy")
-        pairs = x.join(y, (x["band"] == y["band"]) & (F.col("c_x") < F.col("c_y")) & (estimate("sig_x", "sig_y") >= low))
+        here = here.join(mixed, "band").join(reps.select(F.col("doc_id").alias("node"), "sig", "bands", F.col("n_shingles").alias("n")), "node")
+        x, y = (here.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "c", "sig", "bands", "n"))) for s in "xy")
+        earlier = F.exists(F.arrays_zip("bands_x", "bands_y"), lambda z: (z["bands_x"] == z["bands_y"]) & (z["bands_x"] < x["band"]))
+        pairs = x.join(y, (x["band"] == y["band"]) & (F.col("c_x") < F.col("c_y")) & fits("n_x", "n_y") & ~earlier)
         pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), "c_x", "c_y", estimate("sig_x", "sig_y").alias("e"))
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
         if not last:
