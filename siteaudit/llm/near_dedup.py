@@ -9,15 +9,16 @@
    (a star: linear in the bucket). Packed signatures estimate the similarity by bit
    counts, corrected for chance collisions of low bits; pairs far below the
    threshold go. The rest are confirmed on the full sets, recomputed from the texts.
+   Buckets that still hold several components get further stars around members
+   least by a seeded hash, so that one odd leader doesn't keep a group apart.
 4. Components of the confirmed links. Buckets that still hold several components
    are joined with themselves on the band key, with the estimate inside the join
-   condition, each pair in the first band that it shares; first one best pair for
-   each two components, then all that remain between components. So a pair that shares a band is either in one component
+   condition, each pair in the first band that it shares. So a pair that shares a band is either in one component
    already, far below the threshold by estimate, or confirmed exactly.
 
 With 32 bands of 5 rows a pair at similarity 0.8 shares no band with probability
-3e-6, one at 0.85 with 2e-8. The estimate (320 minima of four bits) drops a pair
-only when it is 4.5 standard deviations (0.105) below the threshold.
+3e-6, one at 0.85 with 2e-8. The estimate (640 minima of four bits) drops a pair
+only when it is 4.5 standard deviations (0.074) below the threshold.
 
 Nulls and empty texts have empty sets and are linked with nothing. Texts of fewer
 than k words are one shingle. Rows that share a doc_id are one node: their links
@@ -41,9 +42,11 @@ from .shared import cut, free_name
 
 BANDS, ROWS = 32, 5
 #: Minima of a signature (the first BANDS * ROWS also make the bands) and the low bits kept of each.
-MINIMA, BITS = 320, 4
+MINIMA, BITS = 640, 4
 #: Longs of a packed signature.
 LONGS = MINIMA * BITS // 64
+#: Further stars of buckets with several components.
+STARS = 1
 #: Standard deviations below the threshold at which an estimate drops a pair.
 MARGIN = 4.5
 
@@ -199,6 +202,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, num, den), "a long, b long").distinct()
 
 
+def mixed_buckets(shared: DataFrame, linked: DataFrame) -> DataFrame:
+    """(band, node, c) of the buckets that hold several components; an unlinked class is its own."""
+    here = shared.select("band", "node").join(linked.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    mixed = here.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("band")
+    return here.join(mixed, "band")
+
+
 def near_duplicate_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
@@ -216,31 +226,35 @@ def near_duplicate_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: i
     bands = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"))
     buckets = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("band", "a")
     shared = cut(bands.join(buckets, "band"))
-    star = shared.where("a != node").select("a", F.col("node").alias("b")).distinct()
     low = cutoff(num / den)
     # Sets of very different sizes can't be similar enough.
     fits = lambda x, y: (den * F.least(x, y) >= num * F.greatest(x, y)) & (estimate(f"sig_{x[-1]}", f"sig_{y[-1]}") >= low)
     of = lambda s: sigs.select(F.col("doc_id").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"))
-    tried = cut(star.join(of("b"), "b").join(of("a"), "a").where(fits("n_a", "n_b")).select("a", "b").distinct())
-    links = cut(_verified(tried, docs, k, num, den))
-    linked = connected_components(links)
-    # Buckets that hold several components; the component of an unlinked class is itself.
-    for last in (False, True):
-        here = shared.select("band", "node").join(linked.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        mixed = here.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("band")
-        here = here.join(mixed, "band").join(reps.select(F.col("doc_id").alias("node"), "sig", "bands", F.col("n_shingles").alias("n")), "node")
-        x, y = (here.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "c", "sig", "bands", "n"))) for s in "xy")
-        earlier = F.exists(F.arrays_zip("bands_x", "bands_y"), lambda z: (z["bands_x"] == z["bands_y"]) & (z["bands_x"] < x["band"]))
-        pairs = x.join(y, (x["band"] == y["band"]) & (F.col("c_x") < F.col("c_y")) & fits("n_x", "n_y") & ~earlier)
-        pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), "c_x", "c_y", estimate("sig_x", "sig_y").alias("e"))
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if not last:
-            pairs = pairs.groupBy("c_x", "c_y").agg(F.max(F.struct("e", "a", "b")).alias("p")).select("p.a", "p.b")
-        pairs = cut(pairs.select("a", "b").distinct())
-        if pairs.isEmpty():
+    tried = links = linked = None
+    for star in range(1 + STARS):
+        if star == 0:
+            pairs = shared.where("a != node").select("a", F.col("node").alias("b"))
+        else:
+            here = mixed_buckets(shared, linked)
+            lead = F.min(F.struct(F.xxhash64(F.lit(star), "node").alias("h"), F.col("node").alias("a"), F.col("c").alias("c_a")))
+            leaders = here.groupBy("band").agg(lead.alias("l")).select("band", "l.a", "l.c_a")
+            pairs = here.join(leaders, "band").where("c != c_a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        pairs = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = cut(pairs.join(of("b"), "b").join(of("a"), "a").where(fits("n_a", "n_b")).select("a", "b"))
+        tried = pairs if tried is None else tried.union(pairs)
+        if star and pairs.isEmpty():
             break
         more = cut(_verified(pairs, docs, k, num, den))
-        tried = tried.union(pairs)
+        if star == 0 or not more.isEmpty():
+            links = more if links is None else links.union(more)
+            linked = connected_components(links)
+    here = mixed_buckets(shared, linked).join(reps.select(F.col("doc_id").alias("node"), "sig", "bands", F.col("n_shingles").alias("n")), "node")
+    x, y = (here.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "c", "sig", "bands", "n"))) for s in "xy")
+    earlier = F.exists(F.arrays_zip("bands_x", "bands_y"), lambda z: (z["bands_x"] == z["bands_y"]) & (z["bands_x"] < x["band"]))
+    pairs = x.join(y, (x["band"] == y["band"]) & (F.col("c_x") < F.col("c_y")) & fits("n_x", "n_y") & ~earlier)
+    pairs = cut(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).join(tried, ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        more = cut(_verified(pairs, docs, k, num, den))
         if not more.isEmpty():
             links = links.union(more)
             linked = connected_components(links)
