@@ -123,6 +123,16 @@ class Encoder:
         return out
 
 
+#: Encoders of this worker process by vocabulary file; tasks that follow find the cache warm.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder and the path there."""
     if "://" not in uri and not uri.startswith("file:"):
@@ -234,7 +244,7 @@ def write_tokens(docs: DataFrame, folder: str, *, vocabulary_path: str | None =
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
         own = f"{base}/.{part:06d}-{task.taskAttemptId()}"
-        encoder, end = Encoder(path), struct.pack("<I", end_id)
+        encoder, end = encoder_for(path), struct.pack("<I", end_id)
         n_docs = n_ids = 0
         with fs.open_output_stream(own) as out:
             writer = FrameWriter(out)
