@@ -29,6 +29,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import Any
 from urllib.parse import urlparse
 
@@ -71,6 +72,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces, encoded together as one text, split where the pieces end."""
@@ -89,37 +91,51 @@ class Encoder:
             out.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, edge[:-1].tolist(), edge[1:].tolist()))
         return out
 
-    def _new(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of unknown pieces. A comma or full stop after a letter is a token of its own, and ASCII case is
-        folded by the normaliser, so many pieces are known by their plain form."""
-        plain: dict[str, tuple[str, str]] = {}
+    def _meet(self, pieces: set[str]) -> None:
+        """Puts unknown pieces into the cache. A comma or full stop after a letter is a token of its own, and ASCII
+        case is folded by the normaliser, so many pieces are known by their plain form."""
+        cache, old = self.cache, self.old
+        plain: list[tuple[str, str, str]] = []
+        learn: set[str] = set()
         for p in pieces:
-            if p[-1] in ",." and len(p) > 1 and p[-2] in _LETTERS:
-                plain[p] = (p[:-1].lower() if p.isascii() else p[:-1]), p[-1]
-            elif p.isascii():
-                plain[p] = p.lower(), ""
-        want = {q for q, _ in plain.values()}.union(pieces.difference(plain), ",.")
-        known = {q: self.cache[q] for q in want if q in self.cache}
-        known.update(self._learn(list(want.difference(known))))
-        known.update((p, known[q] + known[t] if t else known[q]) for p, (q, t) in plain.items())
-        return known
+            b = old.get(p)
+            if b is not None:  # met again: it moves to the newer half
+                cache[p] = b
+                continue
+            tail = p[-1] if p[-1] in ",." and p[-2:-1] in _LETTERS else ""
+            q = p[:-1] if tail else p
+            if q.isascii():
+                q = q.lower()
+            plain.append((p, q, tail))
+            if q not in cache:
+                b = old.get(q)
+                if b is None:
+                    learn.add(q)
+                else:
+                    cache[q] = b
+        learn.update(x for x in ",." if x not in cache)
+        cache.update(self._learn(list(learn)))
+        for p, q, tail in plain:
+            cache[p] = cache[q] + cache[tail] if tail else cache[q]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         if any(c in t for t in texts for c in _UNLIKE):
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.cache)
-        here = self._new(new) if new else {}
-        if len(self.cache) + len(here) > CACHE_PIECES:
-            here.update((p, self.cache[p]) for p in set().union(*split).difference(here))
-            self.cache = {}
-        get = self.cache
-        get.update(here)
-        out = [b"".join([get[p] for p in pieces]) for pieces in split]
-        for p in here:
-            if len(p) > CACHE_CHARS:
-                get.pop(p, None)
+        pieces = list(chain.from_iterable(split))
+        ids = list(map(self.cache.get, pieces))
+        unknown = [i for i, b in enumerate(ids) if b is None]
+        if unknown:
+            self._meet({pieces[i] for i in unknown})
+            for i in unknown:
+                ids[i] = self.cache[pieces[i]]
+            if len(self.cache) > CACHE_PIECES // 2:
+                self.cache, self.old = {}, {p: b for p, b in self.cache.items() if len(p) <= CACHE_CHARS}
+        out, at = [], 0
+        for x in split:
+            out.append(b"".join(ids[at : at + len(x)]))
+            at += len(x)
         return out
 
 
