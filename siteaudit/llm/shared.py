@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -30,9 +31,16 @@ def new_folder(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame as a checkpoint in the shared folder; lost executors cost nothing but a reread."""
+    """The frame as a checkpoint in the shared folder; lost executors cost nothing but a reread.
+
+    Shuffle files of steps before go when the driver collects the garbage that refers to them, so it does so here:
+    a job of many steps then holds the files of a few on disk, not of all.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def text_or_empty(name: str = "text") -> Column:
