@@ -116,6 +116,11 @@ class Words:
         h[self.ends - self.starts < n] = 0
         return h
 
+    def part_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges within words."""
+        inv = _powers(len(self.sums))[1]
+        return mix((self.sums[ends] - self.sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 

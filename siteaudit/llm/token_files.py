@@ -16,7 +16,8 @@ and over the documents of a file as they stream by.
 
 Encoding goes through a bounded cache of white-space separated pieces: the
 tokenizer's normaliser and splitter never look across white space (checked against
-whole-text encoding in the tests), and pieces repeat far more than texts do.
+whole-text encoding in the tests), and pieces repeat far more than texts do. Pieces
+are told apart by 64-bit hashes.
 
 Nulls and empty texts have no ids but the end id. A null doc_id is stored with a
 flag and comes first. Rows of one doc_id are ordered by the hash of their text.
@@ -29,7 +30,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 from typing import Any
 from urllib.parse import urlparse
 
@@ -41,17 +41,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textblocks as tb
 from .shared import new_folder
 
 END_ID = 2
 #: Raw bytes after which a frame is closed; a longer document is a frame of its own.
 FRAME_BYTES = 1 << 20
-#: Pieces that a worker's cache may hold, and the longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 700_000, 64
+#: Pieces that a worker's cache may hold, and the longest ids that are kept.
+CACHE_PIECES, CACHE_BYTES = 700_000, 256
+#: Bytes of text that are split and looked up at once.
+PIECE_BYTES = 1 << 21
 LEVEL = 3
-#: ASCII letters; and characters that Python takes for white space and the tokenizer doesn't.
-_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
-_UNLIKE = "\x1c\x1d\x1e\x1f"
 
 SEEK_MAGIC, TABLE_MAGIC, INDEX_MAGIC = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("n", "<u8")])
@@ -63,80 +63,91 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file, through a cache of pieces."""
+    """Ids of texts by a tokenizer file, through a cache of pieces.
+
+    Pieces are runs without ASCII white space, known by the 64-bit hash of their bytes with A-Z folded, as the
+    normaliser folds them. A comma or full stop after an ASCII letter is a token of its own and is split off.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+        self.tails = [self._whole(x) for x in ",."]
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, encoded together as one text, split where the pieces end."""
-        out: dict[str, bytes] = {}
+        out: list[bytes] = []
         for lo in range(0, len(pieces), 150):
             part = pieces[lo : lo + 150]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
             begin = np.array([a for a, _ in got.offsets], np.int64)
             size = np.array([len(p) + 1 for p in part])
-            edge = np.searchsorted(begin, np.concatenate((np.cumsum(size) - size, [size.sum()])))
-            if len(begin) and (np.diff(begin) < 0).any():  # an offset that runs back: one by one
-                out.update((p, np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()) for p in part)
+            if (np.diff(begin) < 0).any():  # an offset that runs back: one by one
+                out += [self._whole(p) for p in part]
                 continue
-            raw = ids.tobytes()
-            out.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(part, edge[:-1].tolist(), edge[1:].tolist()))
+            edge = np.searchsorted(begin, np.concatenate((np.cumsum(size) - size, [size.sum()]))).tolist()
+            raw = np.array(got.ids, "<u4").tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip(edge[:-1], edge[1:])]
         return out
 
-    def _meet(self, pieces: set[str]) -> None:
-        """Puts unknown pieces into the cache. A comma or full stop after a letter is a token of its own, and ASCII
-        case is folded by the normaliser, so many pieces are known by their plain form."""
-        cache, old = self.cache, self.old
-        plain: list[tuple[str, str, str]] = []
-        learn: set[str] = set()
-        for p in pieces:
-            b = old.get(p)
-            if b is not None:  # met again: it moves to the newer half
-                cache[p] = b
-                continue
-            tail = p[-1] if p[-1] in ",." and p[-2:-1] in _LETTERS else ""
-            q = p[:-1] if tail else p
-            if q.isascii():
-                q = q.lower()
-            plain.append((p, q, tail))
-            if q not in cache:
-                b = old.get(q)
-                if b is None:
-                    learn.add(q)
-                else:
-                    cache[q] = b
-        learn.update(x for x in ",." if x not in cache)
-        cache.update(self._learn(list(learn)))
-        for p, q, tail in plain:
-            cache[p] = cache[q] + cache[tail] if tail else cache[q]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        if any(c in t for t in texts for c in _UNLIKE):
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [t.split() for t in texts]
-        pieces = list(chain.from_iterable(split))
-        ids = list(map(self.cache.get, pieces))
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit integers; nulls are empty."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_utf8())
+        return [ids for block in tb.blocks(column, PIECE_BYTES) for ids in self._block(block)]
+
+    def _block(self, block: tb.Block) -> list[bytes]:
+        raw = block.raw.tobytes()
+        if b"<|" in raw:  # names of special tokens aren't folded and mean one id
+            return [self._whole(block.text(r)) for r in range(block.hi - block.lo)]
+        w = tb.words(block, tb.NONSPACE)
+        if not len(w.starts):
+            return [b""] * (block.hi - block.lo)
+        last, before = block.raw[w.ends - 1], block.raw[np.maximum(w.ends - 2, 0)]
+        tail = ((last == 44) | (last == 46)) & (w.ends - w.starts > 1) & _ASCII_LETTER[before]
+        ends = w.ends - tail
+        hashes = w.part_hashes(w.starts, ends)
+        known, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        names = known.tolist()
+        ids = list(map(self.cache.get, names))
         unknown = [i for i, b in enumerate(ids) if b is None]
         if unknown:
-            self._meet({pieces[i] for i in unknown})
+            learn = []
             for i in unknown:
-                ids[i] = self.cache[pieces[i]]
+                ids[i] = self.old.get(names[i])
+                if ids[i] is None:
+                    learn.append(i)
+            where = at[learn]
+            pieces = [raw[s:e].decode("utf-8", "replace") for s, e in zip(w.starts[where].tolist(), ends[where].tolist())]
+            for i, b in zip(learn, self._learn(pieces)):
+                ids[i] = b
+            self.cache.update((names[i], ids[i]) for i in unknown if len(ids[i]) <= CACHE_BYTES)
             if len(self.cache) > CACHE_PIECES // 2:
-                self.cache, self.old = {}, {p: b for p, b in self.cache.items() if len(p) <= CACHE_CHARS}
-        out, at = [], 0
-        for x in split:
-            out.append(b"".join(ids[at : at + len(x)]))
-            at += len(x)
-        return out
+                self.cache, self.old = {}, self.cache
+        # The texts as units: pieces and split-off tails; then a ragged gather of all units' ids.
+        flat = np.frombuffer(b"".join([*ids, *self.tails]), "<u4")
+        size = np.array([len(b) // 4 for b in (*ids, *self.tails)])
+        start = np.cumsum(size) - size
+        place = np.arange(len(tail)) + np.cumsum(tail) - tail
+        units = np.empty(len(tail) + int(tail.sum()), np.int64)
+        units[place] = inverse
+        units[place[tail] + 1] = len(ids) + (last[tail] == 46)
+        n = size[units]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        out = flat[np.repeat(start[units] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+        edge = (4 * upto[np.append(place, len(units))[w.first]]).tolist()
+        return [out[a:b] for a, b in zip(edge[:-1], edge[1:])]
 
 
 #: Encoders of this worker process by vocabulary file; tasks that follow find the cache warm.
@@ -266,9 +277,8 @@ def write_tokens(docs: DataFrame, folder: str, *, vocabulary_path: str | None =
             writer = FrameWriter(out)
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1)
-                for lo in range(0, batch.num_rows, 256):
-                    some = [t or "" for t in texts[lo : lo + 256].to_pylist()]
-                    for doc_id, b in zip(ids[lo : lo + 256], encoder.encode(some)):
+                for lo in range(0, batch.num_rows, 2048):
+                    for doc_id, b in zip(ids[lo : lo + 2048], encoder.encode(texts[lo : lo + 2048])):
                         writer.add(doc_id, b + end)
                         n_docs += 1
                         n_ids += len(b) // 4 + 1
