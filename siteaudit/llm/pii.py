@@ -12,7 +12,7 @@ are clamped to its kind. Loopy belief propagation on the sum-product rule runs
 span of the kind, unless it overlaps a base span. Base spans stay as they are.
 
 Emission weights are fitted by logistic regression on shape features of candidates
-with the base kinds as labels, from a bounded sample of documents (`SAMPLE`, least
+with the base kinds as labels, from a bounded sample of documents (about `SAMPLE`,
 by hash, `SAMPLE_CHARS` characters each); chain and skip weights are log odds of equal labels in the same sample,
 bounded by `EDGE`. Candidates of documents are found in whole texts; a document
 without a digit or `@` has none, which is exact.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textblocks as tb
-from .shared import free_name, text_or_empty
+from .shared import about, free_name, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents of the training sample, and the characters of each one's lines with candidates that it uses.
@@ -273,8 +273,8 @@ _PII_BYTES[[*range(48, 58), 64]] = True
 
 def trained(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Field:
     """A field from a bounded sample of documents that hold a digit or `@`; only their candidates' lines reach the driver."""
-    order = F.xxhash64(F.lit(11), key, text)
-    some = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("t"), order.alias("h")).orderBy("h").limit(SAMPLE)
+    some = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("t"), F.xxhash64(F.lit(11), key, text).alias("h"))
+    some = about(some, F.col("h"), SAMPLE, some.count())
     # Lines without candidates add nothing: what is left is short.
     lines = F.array_join(F.filter(F.split("t", "\n"), lambda x: x.rlike("[0-9@]")), "\n")
     return fit(r["t"] for r in some.select(F.substring(lines, 1, SAMPLE_CHARS).alias("t"), "h").orderBy("h").toLocalIterator())

@@ -10,7 +10,7 @@ Training (labels only from the rows it is given):
    weights of the bins of the token's own word, of its beginning, and of either
    neighbour; transitions) is fitted by gradient ascent on the exact conditional
    likelihood of windows of `WINDOW` tokens, from a bounded sample of labelled rows:
-   `SAMPLE` documents of each label, least by hash, `SAMPLE_TOKENS` tokens in all.
+   about `SAMPLE` documents of each label, chosen by hash, `SAMPLE_TOKENS` tokens in all.
 3. Document scores: a logistic function of the marginals' sum and maximum, fitted to
    the same sample.
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textblocks as tb
-from .shared import cut, free_name, text_or_empty
+from .shared import about, cut, free_name, text_or_empty
 
 MIN_DOCS, MIN_SHARE, MIN_ODDS, MAX_FEATURES = 4, 0.01, 3.0, 100_000
 SAMPLE, SAMPLE_TOKENS, WINDOW = 2_000, 3_000_000, 64
@@ -293,7 +293,7 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "toxic", key:
         return model
     # The bounded sample; each task turns texts into bins, so the driver gets bytes, not texts.
     lex = spark.sparkContext.broadcast(lexicon)
-    chosen = rows.where("y = 1").orderBy("h").limit(SAMPLE).union(rows.where("y = 0").orderBy("h").limit(SAMPLE))
+    chosen = about(rows.where("y = 1"), F.col("h"), SAMPLE, n1).union(about(rows.where("y = 0"), F.col("h"), SAMPLE, n0))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
