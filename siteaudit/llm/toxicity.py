@@ -44,6 +44,8 @@ SAMPLE, SAMPLE_TOKENS, WINDOW = 2_000, 3_000_000, 64
 EDGES = np.array([MIN_ODDS, 4.0, 5.0, 6.0, 7.0])
 BINS = len(EDGES) + 1
 THRESHOLD = 0.7
+#: Labels that are broadcast at most.
+MAX_LABELS = 2_000_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: Emission features: own word, own beginning, and the better of both for either neighbour.
 GROUPS = 4
@@ -268,7 +270,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, *, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Model:
     """A model from labelled rows; label is 1 (toxic) or 0, other values are ignored."""
     spark = labelled.sparkSession
-    rows = cut(labelled.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(3), key, text).alias("h")))
+    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(3), key, text).alias("h"))
     n1, n0 = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
     toxic = rows.where("y = 1").select("text").mapInArrow(_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n1"))
     toxic = toxic.where(F.col("n1") >= max(MIN_DOCS, MIN_SHARE * n1)).orderBy(F.desc("n1"), "feature").limit(4 * MAX_FEATURES)
@@ -372,7 +374,13 @@ def _held_out(key: str) -> object:
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labels whose crc32(doc_id as text) mod 3 is not 1."""
     mine = labels.where(F.col("doc_id").isNotNull() & ~_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return train(docs.select("doc_id", text_or_empty().alias("text")).join(mine, "doc_id"))
+    # A label is 16 bytes. Up to MAX_LABELS of them are broadcast and texts stay where they are; beyond that the
+    # join shuffles once and is kept in the shared folder for the passes that follow.
+    mine = cut(mine)
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    if mine.count() <= MAX_LABELS:
+        return train(texts.join(F.broadcast(mine), "doc_id"))
+    return train(cut(texts.join(mine, "doc_id")))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
