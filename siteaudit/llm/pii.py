@@ -4,12 +4,15 @@ Base spans are matches of fixed patterns (email, IPv4, payment card, phone) with
 their checks. The field then labels the remaining candidate tokens: maximal runs
 without white space that hold a digit or `@`, and bracketed or spaced runs of such
 tokens. Nodes are candidates; a chain edge joins candidates at most `NEAR`
-characters apart; a skip edge joins each candidate to the next one of the document
-with the same key (its digits, or its lower-case letters before `@`), however
-distant, so a token repeated m times has m - 1 skip edges. Nodes inside a base span
-are clamped to its kind. Loopy belief propagation on the sum-product rule runs
-`ROUNDS` sweeps; a candidate whose marginal for a kind is at least `KEEP` becomes a
-span of the kind, unless it overlaps a base span. Base spans stay as they are.
+characters apart; skip edges tie all candidates of the document with the same key
+(its digits, or its lower-case letters before `@`), however distant and however many.
+Nodes inside a base span are clamped to its kind, so their skip edges to all others
+of the key are a constant of each, the skip weight for every one of the kind. The
+others of a key are tied through a hub, whose edges are as strong as makes any two
+of them agree as over one skip edge; so a key of m candidates costs m edges. Loopy
+belief propagation on the sum-product rule sweeps until messages change by less than
+`STILL`; a candidate whose marginal for a kind is at least `KEEP` becomes a span of
+the kind, unless it overlaps a base span. Base spans stay as they are.
 
 Emission weights are fitted by logistic regression on shape features of candidates
 with the base kinds as labels, from a bounded sample of documents (about `SAMPLE`,
@@ -40,7 +43,9 @@ from .shared import about, free_name, text_or_empty
 KINDS = ("email", "ip", "card", "phone")
 #: Documents of the training sample, and the characters of each one's lines with candidates that it uses.
 SAMPLE, SAMPLE_CHARS = 4_000, 20_000
-NEAR, ROUNDS, KEEP, EDGE = 40, 10, 0.8, 3.0
+NEAR, KEEP, EDGE = 40, 0.8, 3.0
+#: Sweeps end at the first that changes no message by more; after CALM sweeps messages are damped, which stops swings.
+STILL, CALM, ROUNDS = 1e-9, 100, 10_000
 
 # The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -183,12 +188,46 @@ def edges_of(nodes: list[tuple[int, int]], keys: list[str]) -> tuple[list[tuple[
     return chain, skip
 
 
-def marginals(emit: np.ndarray, chain: list[tuple[int, int]], skip: list[tuple[int, int]], field: Field, rounds: int = ROUNDS) -> np.ndarray:
+def ties_of(keys: list[str], kinds: list[int], labels: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """How many clamped nodes (kind > 0) of its key each other node has, by label, and edges of these others to their key's hub.
+
+    Hubs are numbered from len(keys) on; a key with fewer than two such nodes has none.
+    """
+    fixed: dict[str, np.ndarray] = {}
+    others: dict[str, list[int]] = {}
+    for i, (key, kind) in enumerate(zip(keys, kinds)):
+        if key and kind:
+            fixed.setdefault(key, np.zeros(labels))[kind] += 1
+        elif key:
+            others.setdefault(key, []).append(i)
+    held, hubs, hub = np.zeros((len(keys), labels)), [], len(keys)
+    for key, nodes in others.items():
+        if key in fixed:
+            held[nodes] = fixed[key]
+        if len(nodes) > 1:
+            hubs += [(i, hub) for i in nodes]
+            hub += 1
+    return held, hubs
+
+
+def hub_weight(skip: float, labels: int) -> float:
+    """The weight of two edges in a row that are together one edge of weight skip."""
+    e = np.exp(skip)
+    return float(np.log(e + np.sqrt(e * e + (labels - 2) * e - (labels - 1))))
+
+
+def marginals(
+    emit: np.ndarray, chain: list[tuple[int, int]], skip: list[tuple[int, int]], field: Field, rounds: int = ROUNDS, hubs: list[tuple[int, int]] | None = None
+) -> np.ndarray:
     """Node marginals by loopy belief propagation; exact on trees after enough rounds."""
     n, k = emit.shape
     if not n:
         return emit
     pairs = [(a, b, field.chain) for a, b in chain] + [(a, b, field.skip) for a, b in skip]
+    if hubs:
+        strong = hub_weight(field.skip, k)
+        pairs += [(a, b, strong) for a, b in hubs]
+        emit = np.concatenate([emit, np.zeros((hubs[-1][1] + 1 - n, k))])
     phi = np.exp(emit - emit.max(1, keepdims=True))
     if not pairs:
         return phi / phi.sum(1, keepdims=True)
@@ -197,20 +236,20 @@ def marginals(emit: np.ndarray, chain: list[tuple[int, int]], skip: list[tuple[i
     gain = np.exp(np.array([w for _, _, w in pairs for _ in (0, 1)]))
     back = np.arange(len(src)) ^ 1
     msg = np.zeros((len(src), k))
-    for _ in range(rounds):
+    for r in range(rounds):
         total = np.log(phi + 1e-300)
         np.add.at(total, dst, msg)
         into = total[src] - msg[back]
         into = np.exp(into - into.max(1, keepdims=True))
         out = into.sum(1, keepdims=True) + (gain[:, None] - 1) * into
         new = np.log(out / out.sum(1, keepdims=True))
-        done = np.abs(new - msg).max() < 1e-9
-        msg = new
+        done = np.abs(new - msg).max() < STILL
+        msg = new if r < CALM else (new + msg) / 2
         if done:
             break
     total = np.log(phi + 1e-300)
     np.add.at(total, dst, msg)
-    p = np.exp(total - total.max(1, keepdims=True))
+    p = np.exp(total - total.max(1, keepdims=True))[:n]
     return p / p.sum(1, keepdims=True)
 
 
@@ -229,7 +268,8 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
             emit[i] = -50.0
             emit[i, k] = 0.0
     keys = [key_of(t) for t in tokens]
-    p = marginals(emit, *edges_of(nodes, keys), field)
+    held, hubs = ties_of(keys, [k for k, _ in known], emit.shape[1])
+    p = marginals(emit + field.skip * held, edges_of(nodes, keys)[0], [], field, hubs=hubs)
     more = []
     for i in free:
         k = int(p[i, 1:].argmax()) + 1

@@ -203,6 +203,36 @@ def test_belief_propagation_on_trees():
     assert np.allclose(got, want / want.sum(1, keepdims=True))
 
 
+def test_belief_of_repeats():
+    # Against all labellings: three open nodes of one key, tied by a hub, with a clamped one and without.
+    rng = np.random.default_rng(1)
+    field = pii.Field(np.zeros((3, 1)), 0.7, 1.3)
+    assert np.isclose(np.exp(pii.hub_weight(1.3, 3)) ** 2 + 2, np.exp(1.3) * (2 * np.exp(pii.hub_weight(1.3, 3)) + 1))
+    for kinds in ([0, 0, 0], [0, 2, 0, 0]):
+        emit = rng.normal(size=(len(kinds), 3))
+        held, hubs = pii.ties_of(["a"] * len(kinds), kinds, 3)
+        assert held.tolist() == [[0, 0, float(2 in kinds and not k)] for k in kinds] and hubs == [(i, len(kinds)) for i, k in enumerate(kinds) if not k]
+        got = pii.marginals(emit + field.skip * held, [], [], field, hubs=hubs)
+        want, w = np.zeros_like(emit), pii.hub_weight(field.skip, 3)
+        for *y, hub in np.ndindex(*[3] * (len(kinds) + 1)):
+            q = sum(emit[i, y[i]] + (field.skip * (2 in kinds and y[i] == 2) + w * (y[i] == hub) if not k else 0) for i, k in enumerate(kinds))
+            for i in range(len(kinds)):
+                want[i, y[i]] += np.exp(q)
+        assert np.allclose(got, want / want.sum(1, keepdims=True))
+
+
+def test_repeats_far_from_the_base_form():
+    field = pii.Field(np.zeros((len(pii.KINDS) + 1, pii.N_FEATURES)), 0.5, pii.EDGE)
+    gap = " " + "words " * 20
+    for n in (1, 2, 20, 200):
+        for mentions in (["+1 (488) 555-2485", *["(488) 555-2485"] * n], [*["(488) 555-2485"] * n, "+1 (488) 555-2485"]):
+            base, more = pii.all_spans(gap.join(mentions), field)
+            assert [k for k, *_ in base] == ["phone"] and [k for k, *_ in more] == ["phone"] * (n + 1)
+    # Another number says nothing, and neither does a repeat without a base form.
+    assert len(pii.all_spans(gap.join(["+1 (488) 555-2485", *["(488) 555-9999"] * 20]), field)[1]) == 1
+    assert pii.all_spans(gap.join(["(488) 555-2485"] * 20), field)[1] == []
+
+
 # ---- 5 ----
 def test_decontamination(spark, odd, none):
     items = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "Short one"), (3, ""), (4, None), (10, "SHORT one")], "item_id long, text string")
