@@ -11,9 +11,10 @@ by k - 1 characters, so the cost is linear in the text and the working set is on
 block. All expressions are Spark's own.
 
 The fingerprint string is the base64 text of the anchors' low 32 hash bits in text
-order. A text shorter than k has one anchor, the hash of all of it; an empty one
-has none and an empty fingerprint. Likeness: 2 * common / total of the distinct
-anchors; two texts without anchors are alike (1).
+order. A text without a closed syncmer (each one shorter than k, and some of up to
+2k - s - 2 characters) has one anchor, the hash of all of it; only an empty one has
+none and an empty fingerprint. Likeness: 2 * common / total of the distinct anchors;
+two empty texts are alike (1).
 
 Nulls: a null text is empty; null doc_ids come last in descending order. Rows of
 one doc_id are ordered by the hash of their text. Extra columns are ignored. A
@@ -55,12 +56,26 @@ def _chunk(smers: Column, at: Column, k: int, s: int) -> Column:
     return F.when(F.size(smers) < w, F.array().cast("array<struct<p:int,h:bigint>>")).otherwise(let(F.transform(smers, lambda x: F.xxhash64(x)), pick))
 
 
-def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """array<struct<p, h>> of a text: code point positions and hashes of its closed syncmers."""
+def _none() -> Column:
+    return F.array().cast("array<struct<p:int,h:bigint>>")
+
+
+def _syncmers(text: Column, k: int, s: int) -> Column:
+    """array<struct<p, h>> of a text: code point positions and hashes of its closed syncmers; it may have none."""
     blocks = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{BLOCK + k - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
     each = F.transform(blocks, lambda b, i: _chunk(F.regexp_extract_all(b, F.lit(f"(?s)(?=(.{{{s}}}))."), F.lit(1)), i * BLOCK, k, s))
+    return F.when(F.length(text) >= k, F.flatten(each)).otherwise(_none())
+
+
+def _or_whole(found: Column, text: Column) -> Column:
+    """The syncmers found in a text; where there are none, one anchor for all of it."""
     whole = F.array(F.struct(F.lit(0).alias("p"), F.xxhash64(text).alias("h")))
-    return F.when(F.length(text) >= k, F.flatten(each)).when(F.length(text) > 0, whole).otherwise(F.array().cast("array<struct<p:int,h:bigint>>"))
+    return let(found, lambda xs: F.when(F.size(xs) > 0, xs).when(F.length(text) > 0, whole).otherwise(_none()))
+
+
+def anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """array<struct<p, h>> of a text: its closed syncmers, or one anchor for all of a text without."""
+    return _or_whole(_syncmers(text, k, s), text)
 
 
 def spliced(own: Column, text: Column, keep: Column, other: Column, put: Column, m: Column, k: int = K, s: int = S) -> Column:
@@ -70,10 +85,11 @@ def spliced(own: Column, text: Column, keep: Column, other: Column, put: Column,
     move = lambda xs, by: F.transform(xs, lambda x: F.struct((x["p"] + by).cast("int").alias("p"), x["h"].alias("h")))
     kept = F.filter(own, lambda x: x["p"] + k <= keep)
     put_in = move(F.filter(other, lambda x: x["p"] + k <= m), keep)
-    crossing = F.when(F.length(seam) >= k, move(anchors(seam, k, s), keep - lead)).otherwise(F.array().cast("array<struct<p:int,h:bigint>>"))
-    # Short texts have one anchor of another kind, so what is kept of them doesn't carry over.
-    none = F.array().cast("array<struct<p:int,h:bigint>>")
-    return F.concat(F.when(F.length(text) >= k, kept).otherwise(none), crossing, F.when(F.length(put) >= k, put_in).otherwise(none))
+    crossing = move(_syncmers(seam, k, s), keep - lead)
+    # The anchor of a whole text is of another kind and doesn't carry over.
+    cut = lambda xs, t, part: F.when(F.get(xs, F.lit(0))["h"] != F.xxhash64(t), part).otherwise(_none())
+    found = F.concat(cut(own, text, kept), crossing, cut(other, put, put_in))
+    return _or_whole(found, F.concat(F.substring(text, F.lit(1), keep), F.substring(put, F.lit(1), m)))
 
 
 def packed(found: Column) -> Column:
@@ -132,8 +148,7 @@ def fingerprint_digest(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring("text", 1, F.col("keep")), F.substring("next_text", 1, F.col("m")))
     rows = rows.withColumn("edited", edited)
     c = F.col
-    short = F.when(F.length("edited") > 0, F.array(F.struct(F.lit(0).alias("p"), F.xxhash64("edited").alias("h")))).otherwise(F.array().cast("array<struct<p:int,h:bigint>>"))
-    theirs = F.when(F.length("edited") >= K, spliced(c("anchors"), c("text"), c("keep"), c("next_anchors"), c("next_text"), c("m"))).otherwise(short)
+    theirs = spliced(c("anchors"), c("text"), c("keep"), c("next_anchors"), c("next_text"), c("m"))
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
     out = rows.withColumn("theirs", theirs)
     return out.select(

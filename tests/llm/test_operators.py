@@ -304,6 +304,20 @@ def test_syncmers(spark, odd, none):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in out) and syncmers.fingerprint_digest(none).count() == 0
 
 
+def test_texts_without_syncmers(spark, none):
+    rng = random.Random(6)
+    ts = ["".join(rng.choice("abcdefghij klmé") for _ in range(n)) for n in range(32, 56) for _ in range(8)] + [""]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(ts)], none.schema)
+    got = {r["doc_id"]: r for r in syncmers.fingerprint_digest(df).collect()}
+    assert all(bool(got[i]["fingerprint"]) == bool(t) for i, t in enumerate(ts)) and len({r["fingerprint"] for r in got.values()}) == len(ts)
+    assert all(r["near_next"] == 0 for r in got.values())
+    edited = [t[: len(t) - len(t) // 2] + ts[i - 1][: len(t) // 2] for i, t in enumerate(ts)]
+    want = spark.createDataFrame(list(enumerate(edited)), "i long, e string").select("i", syncmers.packed(syncmers.anchors(F.col("e"))).alias("f")).collect()
+    assert all(got[r["i"]]["edited_fingerprint"] == r["f"] and bool(r["f"]) == bool(edited[r["i"]]) for r in want)
+    empty = spark.createDataFrame([(1, "", None, None, None), (2, None, None, None, None)], none.schema)
+    assert all(r["near_next"] == 1 and r["fingerprint"] == "" for r in syncmers.fingerprint_digest(empty).collect())
+
+
 def test_next_documents(spark, docs, texts):
     order = sorted(texts, reverse=True)
     for run in (10_000, 17):
