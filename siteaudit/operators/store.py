@@ -46,11 +46,13 @@ class CrawlStore:
         return self.load("crawls").agg(F.max_by("crawl_id", F.struct("created_at", "crawl_id"))).first()[0]
 
 
-def page_changes(old: DataFrame, new: DataFrame, most: int = 1000) -> DataFrame:
-    """(change, url): distinct urls added and removed, at most `most` of each, in order."""
+def page_changes(old: DataFrame, new: DataFrame, most: int | None = None) -> DataFrame:
+    """(change, url): distinct urls added and removed; for a report the first `most` of each in order of the url (the reference's: 1000)."""
     both = []
     for change, a, b in (("added", new, old), ("removed", old, new)):
-        both.append(a.select("url").distinct().join(b.select("url"), "url", "left_anti").orderBy("url").limit(most).select(F.lit(change).alias("change"), "url"))
+        urls = a.select("url").distinct().join(b.select("url"), "url", "left_anti")
+        urls = urls if most is None else urls.orderBy("url").limit(most)
+        both.append(urls.select(F.lit(change).alias("change"), "url"))
     return both[0].union(both[1])
 
 

@@ -141,6 +141,19 @@ def test_store(spark, tmp_path):
     assert "Fix first" in store.text_report({"a": 1}, [r.asDict() for r in triage.top_fixes(issues).collect()])
 
 
+def test_all_page_changes(spark, tmp_path, duck, rows_of):
+    from siteaudit.plans import registry
+
+    pages = spark.range(12_000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://a/"), "id").alias("url"), F.lit("").alias("html"))
+    pages.write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = registry.QUERIES["crawl_diff_pages"](spark, f"file://{tmp_path}")
+    want = duck.cursor()
+    want.execute(f"CREATE TEMP VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert rows_of(got) == rows_of(want.execute(registry.ORACLES["crawl_diff_pages"])) and got.count() == 2_400
+    few = store.page_changes(pages.where("page_id % 10 <> 3"), pages.where("page_id % 10 <> 4"), 1_000)
+    assert [r["n"] for r in few.groupBy("change").agg(F.count("*").alias("n")).collect()] == [1_000, 1_000]
+
+
 def test_packs(spark, tmp_path):
     pack = pk.built_in()
     sloppy = "In today's fast-paced world, unlock the power of synergy. It's important to note — very really — that we delve into it."
