@@ -3,8 +3,9 @@
 Training (labels only from the rows it is given):
 1. Over all labelled training rows, the document frequencies of words and of word
    beginnings (4 to 8 bytes) in toxic and in clean documents. Features seen in at
-   least `MIN_DOCS` toxic documents whose log odds are at least `MIN_ODDS`, the
-   `MAX_FEATURES` most frequent of them, make the lexicon; log odds fall into bins.
+   least `MIN_DOCS` toxic documents, however many there are, whose smoothed log odds
+   are at least `MIN_ODDS`, the `MAX_FEATURES` most frequent of them, make the
+   lexicon; log odds fall into bins.
 2. Token labels by distant supervision: a token of a toxic document with a lexicon
    feature is toxic, every other token is not. The field (two labels; emission
    weights of the bins of the token's own word, of its beginning, and of either
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 from . import textblocks as tb
 from .shared import about, cut, free_name, text_or_empty
 
-MIN_DOCS, MIN_SHARE, MIN_ODDS, MAX_FEATURES = 4, 0.01, 3.0, 100_000
+MIN_DOCS, MIN_ODDS, MAX_FEATURES = 4, 3.0, 100_000
 SAMPLE, SAMPLE_TOKENS, WINDOW = 2_000, 3_000_000, 64
 #: Bins of log odds; 0 is no feature.
 EDGES = np.array([MIN_ODDS, 4.0, 5.0, 6.0, 7.0])
@@ -267,31 +268,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n)], names=["feature", "n"])
 
 
+def _odd_features(rows: DataFrame, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the lexicon and their log odds, from rows (text, y) with n1 toxic and n0 clean ones; counts are joined before any are dropped."""
+    count = lambda y: rows.where(F.col("y") == y).select("text").mapInArrow(_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias(f"n{y}"))
+    both = count(1).where(F.col("n1") >= MIN_DOCS).join(count(0), "feature", "left")
+    odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.coalesce("n0", F.lit(0)) + 0.5) / (n0 + 1.0))
+    some = both.select("feature", "n1", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("n1"), "feature").limit(MAX_FEATURES).collect()
+    return np.array([r["feature"] for r in some], np.int64), np.array([r["odds"] for r in some], float)
+
+
 def train(labelled: DataFrame, *, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Model:
     """A model from labelled rows; label is 1 (toxic) or 0, other values are ignored."""
     spark = labelled.sparkSession
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(3), key, text).alias("h"))
     n1, n0 = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
-    toxic = rows.where("y = 1").select("text").mapInArrow(_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n1"))
-    toxic = toxic.where(F.col("n1") >= max(MIN_DOCS, MIN_SHARE * n1)).orderBy(F.desc("n1"), "feature").limit(4 * MAX_FEATURES)
-    seen = {r["feature"]: r["n1"] for r in toxic.toLocalIterator()}
-    keys = np.array(sorted(seen), np.int64).view(np.uint64)
-    held = spark.sparkContext.broadcast(Lexicon(keys, np.ones(len(keys), np.int8)))
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _counts(batches):
-            known = held.value.of(part.column(0).to_numpy().view(np.uint64)) > 0
-            yield part.filter(pa.array(known))
-
-    n_clean = {r["feature"]: r["n0"] for r in rows.where("y = 0").select("text").mapInArrow(clean, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n0")).toLocalIterator()}
-    names = np.array(sorted(seen), np.int64)
-    c1, c0 = (np.array([d.get(int(f), 0) for f in names], float) for d in (seen, n_clean))
-    odds = np.log((c1 + 0.5) / (n1 + 1.0)) - np.log((c0 + 0.5) / (n0 + 1.0))
-    good = np.flatnonzero(odds >= MIN_ODDS)
-    good = good[np.argsort(-c1[good], kind="stable")][:MAX_FEATURES]
-    lexicon = Lexicon(names[good].view(np.uint64), np.digitize(odds[good], EDGES).astype(np.int8))
+    names, odds = _odd_features(rows, n1, n0)
+    lexicon = Lexicon(names.view(np.uint64), np.digitize(odds, EDGES).astype(np.int8))
     model = Model(lexicon, np.zeros((GROUPS, BINS)), -3.0, np.zeros((2, 2)), np.array([-3.0, 0.0, 0.0]))
-    if not len(good):
+    if not len(names):
         return model
     # The bounded sample; each task turns texts into bins, so the driver gets bytes, not texts.
     lex = spark.sparkContext.broadcast(lexicon)

@@ -142,6 +142,19 @@ def test_toxicity(spark, odd, none, sf):
 
 
 # ---- 3 ----
+def test_rare_toxic_words(spark):
+    # A word of 11 of 1,200 toxic documents (0.9 %) is learned; a word of both kinds is not.
+    made = [(f"ba ko ri {'rareslur' if i < 11 else 'nu'} vileword", 1) for i in range(1_200)] + [("ba ko ri nu se", 0)] * 1_200
+    rows = spark.createDataFrame(made, "text string, y int")
+    word = lambda t: {int(h[0]) for h in toxicity.features(tb.words(next(tb.blocks(pa.array([t]))), tb.ALNUM))}
+    names, odds = toxicity._odd_features(rows, 1_200, 1_200)
+    got = set(names.view(np.uint64).tolist())
+    assert word("rareslur") - {0} <= got and word("vileword") - {0} <= got and not (word("ba") | word("nu")) & got and odds.min() >= toxicity.MIN_ODDS
+    labels = [(i, f"{t} {i}", y) for i, (t, y) in enumerate(made)]
+    model = toxicity.train(spark.createDataFrame(labels, "doc_id long, text string, toxic int"))
+    assert (word("rareslur") - {0}) <= set(model.lexicon.keys.tolist())
+
+
 def test_sharding(spark, odd, none):
     for n in (1, 2, 3, 5, 17, 1000):
         assert sorted(r[0] for r in spark.range(n).select(sharding.permute(F.col("id"), n, 7)).collect()) == list(range(n))
