@@ -11,9 +11,13 @@ spread over all its buckets, and only narrow rows are shuffled. The last documen
 taken is cut at the exact word.
 
 Nulls: a null source is a source of its own, sorted last; a null text has size 0
-and takes 0. Repeated rows are documents each; rows alike in doc_id and text are
-interchangeable. Sources of size 0 have target 0. An empty table gives an empty
-result. Extra columns pass through `mix_documents` untouched.
+and takes 0. A null doc_id has the hash of its row in the key instead, so that such
+rows spread over the buckets. Repeated rows are documents each; rows alike in all
+columns are interchangeable: `mix_documents` gives as many copies of one of them as
+all of them take. A very long text is one number here, its size, and the mix ends
+within half of it. Sources of size 0 have target 0. An empty table gives an empty
+result. Extra columns pass through `mix_documents` untouched. The windows over the
+sources run in one task, on a row of three numbers for each source.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import free_name
+from .shared import cut, free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -51,14 +55,14 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: floa
     return s.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("w"))).select("source", "source_size", "target")
 
 
-def _key(id_name: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_name).cast("string"), F.lit("null"))).cast("binary"))
+def _key(id_name: str, seed: int, tie: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_name).cast("string"), F.concat(F.lit("null:"), tie.cast("string")))).cast("binary"))
 
 
 def taken(docs: DataFrame, *, seed: int = 7, tie: str | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """(doc_id, source, size, tie, source_size, target, whole, part): whole epochs and words of the last, broken one."""
     tie_col = F.col(tie) if tie else F.xxhash64("text")
-    narrow = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), tie_col.alias("tie"), _key("doc_id", seed).alias("key"))
+    narrow = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), tie_col.alias("tie"), _key("doc_id", seed, tie_col).alias("key"))
     narrow = narrow.withColumn("bucket", F.substring("key", 1, DIGITS))
     sums = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     goal = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights=weights, share=share, epochs=epochs)
@@ -92,10 +96,16 @@ def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
     t = taken(mine, tie=tie, **options)
     copies = F.col("whole") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
     many, id_, key = (free_name(docs, c) for c in ("copies", "mix_id", "mix_tie"))
-    # Rows alike in every column share one decision: the rounded mean of their copies.
-    chosen = t.withColumn("copies", copies).groupBy(F.col("doc_id").alias(id_), F.col("tie").alias(key)).agg(F.sum("copies").alias(many), F.count("*").alias("alike")).where(F.col(many) > 0)
-    chosen = chosen.withColumn(many, F.round(F.col(many) / F.col("alike")).cast("int")).where(F.col(many) > 0)
-    rows = mine.join(chosen, mine["doc_id"].eqNullSafe(chosen[id_]) & (mine[tie] == chosen[key]))
+    # Rows alike in every column are one: their copies are counted together, and one of them is repeated as often.
+    chosen = cut(t.withColumn("copies", copies).groupBy(F.col("doc_id").alias(id_), F.col("tie").alias(key)).agg(F.sum("copies").cast("int").alias(many), F.count("*").alias("alike")).where(F.col(many) > 0))
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        return mine.join(some.drop("alike"), mine["doc_id"].eqNullSafe(some[id_]) & (mine[tie] == some[key]))
+
+    if chosen.where("alike > 1").isEmpty():
+        rows = rows_of(chosen)
+    else:
+        rows = rows_of(chosen.where("alike = 1")).union(rows_of(chosen.where("alike > 1")).dropDuplicates([id_, key]))
     return rows.withColumn(many, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*docs.columns)
 
 

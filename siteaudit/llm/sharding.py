@@ -1,6 +1,7 @@
 """Sharding by a Feistel permutation of global row numbers, with cycle walking.
 
-Row numbers: documents fall into hash buckets by doc_id; a row's number is the
+Row numbers: documents fall into hash buckets by doc_id and the hash of all their
+columns, so that rows of one doc_id, or without one, spread; a row's number is the
 number of rows in the buckets before its own plus its rank (by doc_id, then the
 hash of all its columns) within it. Bucket sizes come from one partial aggregation
 and are the only thing that travels besides narrow rows. The permutation is an
@@ -11,8 +12,9 @@ Position p has shard p mod shards and slot p div shards, so both can be computed
 for any row number, counts differ by at most one, and slots have no gaps.
 
 Nulls: a null doc_id is a value like any other; a null text has size 1 and the
-checksum 0 of the empty text. Repeated rows get a place each. An empty table gives
-an empty result. Extra columns pass through `shard_documents` untouched.
+checksum 0 of the empty text. Repeated rows get a place each (rows alike in every
+column share a bucket). A very long text is one row like any other; `place` carries
+its size and checksum only. An empty table gives an empty result. Extra columns pass through `shard_documents` untouched.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ def permute(x: Column, n: int, seed: int) -> Column:
 def number_rows(df: DataFrame, key: str, tie: str, name: str, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
     """df with a gapless global row number from 0, and the number of rows. `tie` orders rows of one key."""
     part, before = free_name(df, "part"), free_name(df, "before")
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64(key, tie), F.lit(buckets)).cast("int")
     sizes = df.select(bucket.alias(part)).groupBy(part).agg(F.count("*").alias("rows"))
     sizes = sizes.withColumn(before, F.coalesce(F.sum("rows").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     n = df.count()
