@@ -1,19 +1,21 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Training (labels only from the rows it is given):
-1. Over all labelled training rows, the document frequencies of words and of word
-   beginnings (4 to 8 bytes) in toxic and in clean documents. Features seen in at
-   least `MIN_DOCS` toxic documents, however many there are, whose smoothed log odds
-   are at least `MIN_ODDS`, the `MAX_FEATURES` most frequent of them, make the
-   lexicon; log odds fall into bins.
+Training (labels only from the rows it is given), on a bounded sample of labelled
+rows: about `LABELLED` of each label, chosen by the hash of the key, so that what is
+broadcast and collected has the same bound at every size of the corpus:
+1. Document frequencies of words and of word beginnings (4 to 8 bytes) in toxic and in
+   clean documents of the sample. Features seen in at least `MIN_DOCS` toxic documents
+   whose smoothed log odds are at least `MIN_ODDS` make the lexicon, however many they
+   are; log odds fall into bins.
 2. Token labels by distant supervision: a token of a toxic document with a lexicon
    feature is toxic, every other token is not. The field (two labels; emission
    weights of the bins of the token's own word, of its beginning, and of either
    neighbour; transitions) is fitted by gradient ascent on the exact conditional
-   likelihood of windows of `WINDOW` tokens, from a bounded sample of labelled rows:
-   about `SAMPLE` documents of each label, chosen by hash, `SAMPLE_TOKENS` tokens in all.
+   likelihood of windows of `WINDOW` tokens of about `SAMPLE` whole documents of each
+   label. Equal windows are one window with its count as its weight in the likelihood;
+   so all windows without a feature, whatever their number, cost one of each length.
 3. Document scores: a logistic function of the marginals' sum and maximum, fitted to
-   the same sample.
+   the same documents, weighted back to the shares of the labels.
 
 Scoring: tokens without a feature in reach share one emission, so runs of them are
 one power of the transfer matrix. Forward-backward over the remaining tokens and
@@ -22,7 +24,9 @@ words whose marginal is at least 0.5, in code points.
 
 Nulls and empty texts have no tokens: their score is that of a text without toxic
 words. Without any labelled row of either kind the lexicon is empty and all scores
-are the same. Repeated rows score alike; extra columns pass through untouched.
+are the same. An empty table gives an empty result. A key that repeats has one label,
+the largest; its rows are scored each for itself. Repeated rows score alike; extra
+columns pass through untouched, also one named score or spans.
 """
 
 from __future__ import annotations
@@ -39,14 +43,15 @@ from pyspark.sql import types as T
 from . import textblocks as tb
 from .shared import about, cut, free_name, text_or_empty
 
-MIN_DOCS, MIN_ODDS, MAX_FEATURES = 4, 3.0, 100_000
-SAMPLE, SAMPLE_TOKENS, WINDOW = 2_000, 3_000_000, 64
+MIN_DOCS, MIN_ODDS = 4, 3.0
+#: Labelled rows of each label that training reads, those of them that the field is fitted to, and the tokens of a window.
+LABELLED, SAMPLE, WINDOW = 50_000, 2_000, 64
+#: Windows that the fit holds as arrays at once.
+FIT_ROWS = 8_192
 #: Bins of log odds; 0 is no feature.
 EDGES = np.array([MIN_ODDS, 4.0, 5.0, 6.0, 7.0])
 BINS = len(EDGES) + 1
 THRESHOLD = 0.7
-#: Labels that are broadcast at most.
-MAX_LABELS = 2_000_000
 PREFIXES = (4, 5, 6, 7, 8)
 #: Emission features: own word, own beginning, and the better of both for either neighbour.
 GROUPS = 4
@@ -111,9 +116,10 @@ class Model:
         return 1.0 / (1.0 + np.exp(-z))
 
 
-def _marginals(d: np.ndarray, live: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of padded chains (n x t): marginals of label 1, log partition functions, expected moves (2 x 2)."""
+def _marginals(d: np.ndarray, live: np.ndarray, moves: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of padded chains (n x t): marginals of label 1, log partition functions, expected moves (2 x 2), those of each chain by its weight."""
     n, t = d.shape
+    weight = np.ones(n) if weight is None else weight
     m = np.exp(moves)
     a = np.zeros((t, n, 2))
     norm = np.zeros(n)
@@ -136,46 +142,48 @@ def _marginals(d: np.ndarray, live: np.ndarray, moves: np.ndarray) -> tuple[np.n
             eb = e * b
             q = a[i - 1][:, :, None] * m[None] * eb[:, None, :]
             q /= q.sum((1, 2), keepdims=True)
-            pairs += q[live[:, i]].sum(0)
+            pairs += np.einsum("n,nij->ij", weight * live[:, i], q)
             back = eb @ m.T
             b = np.where(live[:, i][:, None], back / back.sum(1, keepdims=True), b)
     return out, norm, pairs
 
 
-def fit_field(bins: np.ndarray, labels: np.ndarray, first: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights, bias and moves that maximise the conditional likelihood of labelled windows."""
-    cuts = sorted({int(x) for lo, hi in zip(first[:-1], first[1:]) for x in range(int(lo), int(hi), WINDOW)})
-    ends = np.array([*cuts[1:], len(labels)])
-    starts = np.array(cuts)
-    # Windows without a feature are all alike: one stands for those of its length.
-    busy = np.add.reduceat(bins.sum(1) > 0, starts) > 0
-    size = np.minimum(ends - starts, WINDOW)
-    quiet, times = np.unique(size[~busy], return_counts=True)
-    n = int(busy.sum()) + len(quiet)
-    x = np.zeros((n, WINDOW, GROUPS), np.int64)
-    y, live, weight = np.zeros((n, WINDOW)), np.zeros((n, WINDOW), bool), np.ones(n)
-    for i, (lo, k) in enumerate(zip(starts[busy], size[busy])):
-        x[i, :k], y[i, :k], live[i, :k] = bins[lo : lo + k], labels[lo : lo + k], True
-    for i, (k, c) in enumerate(zip(quiet, times)):
-        live[n - len(quiet) + i, :k], weight[n - len(quiet) + i] = True, c
-    keep = np.repeat(np.arange(n), np.minimum(weight, 50).astype(int))  # a bounded share of quiet windows
-    x, y, live = x[keep], y[keep], live[keep]
+def windows(bins: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A text's windows: (n x WINDOW x GROUPS) bins and (n x WINDOW) labels, both int8 with -1 after the end, and how many of each there are."""
+    n = -(-len(labels) // WINDOW)
+    x, y = np.full((n * WINDOW, GROUPS), -1, np.int8), np.full(n * WINDOW, -1, np.int8)
+    x[: len(labels)], y[: len(labels)] = bins, labels
+    both = np.concatenate([x.reshape(n, -1), y.reshape(n, -1)], 1)
+    rows, times = np.unique(both, axis=0, return_counts=True) if n > 1 else (both, np.ones(n, np.int64))
+    return rows[:, : WINDOW * GROUPS].reshape(-1, WINDOW, GROUPS), rows[:, WINDOW * GROUPS :], times
+
+
+def fit_field(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and moves that maximise the conditional likelihood of windows (see `windows`), each as often as its weight says."""
+    weight = weight.astype(float)
     w, bias, moves = np.zeros((GROUPS, BINS)), -3.0, np.zeros((2, 2))
-    hot = [(x[:, :, g, None] == np.arange(BINS)) & live[:, :, None] for g in range(GROUPS)]
+    total = max(1.0, float((weight[:, None] * (y >= 0)).sum()))
     seen = np.zeros((2, 2))
-    for i in range(1, WINDOW):
-        for p in (0, 1):
-            for q in (0, 1):
-                seen[p, q] += (live[:, i] & (y[:, i - 1] == p) & (y[:, i] == q)).sum()
-    total = max(1.0, live.sum())
+    for p in (0, 1):
+        for q in (0, 1):
+            seen[p, q] = (weight[:, None] * ((y[:, :-1] == p) & (y[:, 1:] == q))).sum()
     size_w, mean, square, step = w.size, np.zeros(w.size + 5), np.zeros(w.size + 5), 0.2
     for r in range(1, rounds + 1):
-        d = bias + sum(w[g][x[:, :, g]] for g in range(GROUPS))
-        p, _, pairs = _marginals(np.where(live, d, 0), live, moves)
-        off = np.where(live, y - p, 0)
-        grad = np.concatenate([np.concatenate([(off[:, :, None] * hot[g]).sum((0, 1)) for g in range(GROUPS)]), [off.sum()], (seen - pairs).ravel()]) / total * 100
+        grad_w, grad_bias, pairs = np.zeros((GROUPS, BINS)), 0.0, np.zeros((2, 2))
+        table = np.concatenate([w, np.zeros((GROUPS, 1))], 1)  # bin -1, after the end, is the last column
+        for lo in range(0, len(weight), FIT_ROWS):
+            xs, ys, ws = x[lo : lo + FIT_ROWS], y[lo : lo + FIT_ROWS], weight[lo : lo + FIT_ROWS]
+            live = ys >= 0
+            d = bias + sum(table[g][xs[:, :, g]] for g in range(GROUPS))
+            p, _, moved = _marginals(np.where(live, d, 0), live, moves, ws)
+            off = np.where(live, (ys - p) * ws[:, None], 0)
+            for g in range(GROUPS):
+                grad_w[g] += np.bincount(xs[:, :, g][live], off[live], BINS)
+            grad_bias += off.sum()
+            pairs += moved
         flat = np.concatenate([w.ravel(), [bias], moves.ravel()])
-        grad -= 0.02 * flat
+        # A normal prior of variance 1 on every weight, whatever the number of windows.
+        grad = (np.concatenate([grad_w.ravel(), [grad_bias], (seen - pairs).ravel()]) - flat) / total * 100
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         flat += step * (mean / (1 - 0.9**r)) / (np.sqrt(square / (1 - 0.99**r)) + 1e-8)
         w, bias, moves = flat[:size_w].reshape(w.shape).copy(), float(flat[size_w]), flat[size_w + 1 :].reshape(2, 2).copy()
@@ -244,7 +252,7 @@ def tag(block: tb.Block, chain: Chain) -> tuple[np.ndarray, np.ndarray, list[tup
     text = np.searchsorted(w.first, at, "right") - 1
     d = chain.model.bias + sum(chain.model.weights[g][bins[at, g]] for g in range(GROUPS))
     p = chain.run(at, d, text, w.first)
-    total, most = np.bincount(text, p, rows), np.zeros(rows)
+    total, most = np.bincount(text, p, rows).astype(float), np.zeros(rows)
     np.maximum.at(most, text, p)
     hit = np.flatnonzero(p >= 0.5)
     spans = [(int(text[i]), int(w.starts[at[i]] - block.offsets[text[i]]), int(w.ends[at[i]] - block.offsets[text[i]]), float(p[i])) for i in hit]
@@ -252,81 +260,92 @@ def tag(block: tb.Block, chain: Chain) -> tuple[np.ndarray, np.ndarray, list[tup
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, documents) of each block, of texts in column 0."""
+    """(feature, toxic documents, clean documents) of each block, of texts in column 0 and labels in column 1."""
     for batch in batches:
+        labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for block in tb.blocks(batch.column(0)):
             w = tb.words(block, tb.ALNUM)
             row = np.repeat(np.arange(block.hi - block.lo), w.counts())
-            found = []
+            found, marks = [], []
             for h in features(w):
                 order = np.lexsort((row, h))
                 x, r = h[order], row[order]
                 new = np.ones(len(x), bool)
                 new[1:] = (x[1:] != x[:-1]) | (r[1:] != r[:-1])
-                found.append(x[new & (x != 0)])
-            f, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n)], names=["feature", "n"])
+                new &= x != 0
+                found.append(x[new])
+                marks.append(labels[block.lo + r[new]])
+            f, place = np.unique(np.concatenate(found), return_inverse=True)
+            y = np.concatenate(marks)
+            yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), *(pa.array(np.bincount(place, y == v, len(f)).astype(np.int64)) for v in (1, 0))], names=["feature", "n1", "n0"])
 
 
 def _odd_features(rows: DataFrame, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the lexicon and their log odds, from rows (text, y) with n1 toxic and n0 clean ones; counts are joined before any are dropped."""
-    count = lambda y: rows.where(F.col("y") == y).select("text").mapInArrow(_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias(f"n{y}"))
-    both = count(1).where(F.col("n1") >= MIN_DOCS).join(count(0), "feature", "left")
-    odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.coalesce("n0", F.lit(0)) + 0.5) / (n0 + 1.0))
-    some = both.select("feature", "n1", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("n1"), "feature").limit(MAX_FEATURES).collect()
-    return np.array([r["feature"] for r in some], np.int64), np.array([r["odds"] for r in some], float)
+    """Features of the lexicon and their log odds, from rows (text, y) with n1 toxic and n0 clean ones."""
+    both = rows.select("text", "y").mapInArrow(_counts, "feature long, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") >= MIN_DOCS)
+    odds = F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0))
+    got = both.select("feature", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS).toArrow()
+    names, odds = got.column("feature").to_numpy().astype(np.int64), got.column("odds").to_numpy().astype(float)
+    order = np.argsort(names)
+    return names[order], odds[order]
 
 
-def train(labelled: DataFrame, *, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Model:
+def train(labelled: DataFrame, *, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """A model from labelled rows; label is 1 (toxic) or 0, other values are ignored."""
     spark = labelled.sparkSession
-    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(3), key, text).alias("h"))
+    rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(3), key).alias("h"))
     n1, n0 = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
     names, odds = _odd_features(rows, n1, n0)
-    lexicon = Lexicon(names.view(np.uint64), np.digitize(odds, EDGES).astype(np.int8))
-    model = Model(lexicon, np.zeros((GROUPS, BINS)), -3.0, np.zeros((2, 2)), np.array([-3.0, 0.0, 0.0]))
+    model = Model(Lexicon(names.view(np.uint64), np.digitize(odds, EDGES).astype(np.int8)), np.zeros((GROUPS, BINS)), -3.0, np.zeros((2, 2)), np.array([-3.0, 0.0, 0.0]))
     if not len(names):
         return model
-    # The bounded sample; each task turns texts into bins, so the driver gets bytes, not texts.
-    lex = spark.sparkContext.broadcast(lexicon)
-    chosen = about(rows.where("y = 1"), F.col("h"), SAMPLE, n1).union(about(rows.where("y = 0"), F.col("h"), SAMPLE, n0))
+    chosen = about(rows.where("y = 1"), F.col("h"), sample, n1).union(about(rows.where("y = 0"), F.col("h"), sample, n0)).select("text", "y")
+    # Each task turns whole texts into distinct windows with counts; the driver gets each window once.
+    held = spark.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            labels = batch.column(1).to_numpy(zero_copy_only=False)
             for block in tb.blocks(batch.column(0)):
                 w = tb.words(block, tb.ALNUM)
-                bins = emissions(*bins_of(w, lex.value), w.first)
-                out = [bins[a:b].astype(np.uint8).tobytes() for a, b in zip(w.first[:-1], w.first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)[block.lo : block.hi], batch.column(2)[block.lo : block.hi]], names=["bins", "y", "h"])
-
-    sample, tokens = [], 0
-    for r in chosen.select("text", "y", "h").mapInArrow(encode, "bins binary, y int, h long").orderBy("h").toLocalIterator():
-        sample.append((np.frombuffer(bytes(r["bins"]), np.uint8).reshape(-1, GROUPS).astype(np.int8), r["y"]))
-        tokens += len(sample[-1][0])
-        if tokens > SAMPLE_TOKENS:
-            break
-    bins = np.concatenate([b for b, _ in sample])
-    first = np.concatenate(([0], np.cumsum([len(b) for b, _ in sample])))
-    y = np.array([v for _, v in sample])
-    toxic_word = np.repeat(y, np.diff(first)) * (np.maximum(bins[:, 0], bins[:, 1]) > 0)
-    model.weights, model.bias, model.moves = fit_field(bins, toxic_word, first)
-    # Document scores.
-    chain = Chain(model)
-    at = np.flatnonzero(bins.any(axis=1))
-    text_of = np.searchsorted(first, at, "right") - 1
-    p = chain.run(at, model.bias + sum(model.weights[g][bins[at, g]] for g in range(GROUPS)), text_of, first)
-    total, most = np.bincount(text_of, p, len(y)), np.zeros(len(y))
-    np.maximum.at(most, text_of, p)
+                bins = emissions(*bins_of(w, held.value.lexicon), w.first)
+                own = np.repeat(labels[block.lo : block.hi], w.counts()) * (np.maximum(bins[:, 0], bins[:, 1]) > 0)
+                for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+                    x, y, times = windows(bins[a:b], own[a:b])
+                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.tobytes() for v in y], pa.binary()), pa.array(times)], names=["x", "y", "n"])
+
+    got = chosen.mapInArrow(encode, "x binary, y binary, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).toArrow().sort_by([("x", "ascending"), ("y", "ascending")])
+    x, y = (np.frombuffer(b"".join(got.column(c).to_pylist()), np.int8) for c in ("x", "y"))
+    model.weights, model.bias, model.moves = fit_field(x.reshape(-1, WINDOW, GROUPS), y.reshape(-1, WINDOW), got.column("n").to_numpy())
+    held.unpersist()
+    held.destroy()
+    model.final = _fit_final(chosen, model, n1, n0)
+    return model
+
+
+def _fit_final(chosen: DataFrame, model: Model, n1: int, n0: int) -> np.ndarray:
+    """The weights of document scores, from (text, y) of the sample: two numbers of each document reach the driver."""
+    held = chosen.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = Chain(held.value)
+        for batch in batches:
+            for block in tb.blocks(batch.column(0)):
+                total, most, _ = tag(block, chain)
+                yield pa.RecordBatch.from_arrays([pa.array(total), pa.array(most), batch.column(1)[block.lo : block.hi]], names=["total", "most", "y"])
+
+    got = chosen.mapInArrow(run, "total double, most double, y int").toArrow().sort_by([("y", "ascending"), ("total", "ascending"), ("most", "ascending")])
+    held.destroy()
+    total, most, y = (got.column(c).to_numpy().astype(float) for c in ("total", "most", "y"))
     x = np.stack([np.ones(len(y)), np.log1p(total), most], 1)
-    # The sample has as many toxic as clean rows; the corpus has not.
+    # The sample has as many toxic as clean rows; the labelled rows have not.
     share = np.where(y == 1, n1 / max(1, (y == 1).sum()), n0 / max(1, (y == 0).sum())) / max(1, n1 + n0)
     b = np.zeros(3)
     for _ in range(50):
         q = 1 / (1 + np.exp(-x @ b))
         h = (x * (share * q * (1 - q))[:, None]).T @ x + 1e-4 * np.eye(3)
         b += np.linalg.solve(h, x.T @ (share * (y - q)) - 1e-4 * b)
-    model.final = b
-    return model
+    return b
 
 
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal", T.DoubleType())])
@@ -365,16 +384,14 @@ def _held_out(key: str) -> object:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the labels whose crc32(doc_id as text) mod 3 is not 1."""
-    mine = labels.where(F.col("doc_id").isNotNull() & ~_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # A label is 16 bytes. Up to MAX_LABELS of them are broadcast and texts stay where they are; beyond that the
-    # join shuffles once and is kept in the shared folder for the passes that follow.
-    mine = cut(mine)
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    if mine.count() <= MAX_LABELS:
-        return train(texts.join(F.broadcast(mine), "doc_id"))
-    return train(cut(texts.join(mine, "doc_id")))
+def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
+    """A model from the labels whose crc32(doc_id as text) mod 3 is not 1, about `labelled` of either label."""
+    mine = labels.where(F.col("doc_id").isNotNull() & ~_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.col("toxic").isin(0, 1))
+    n1, n0 = mine.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    h = F.xxhash64(F.lit(5), "doc_id")
+    some = about(mine.where("toxic = 1"), h, labelled, n1).union(about(mine.where("toxic = 0"), h, labelled, n0))
+    # About 2 * labelled rows of 12 bytes: bounded, so texts stay where they are.
+    return train(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(cut(some)), "doc_id"))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
