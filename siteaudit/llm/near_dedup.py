@@ -1,29 +1,43 @@
 """MinHash near-deduplication with b-bit signatures.
 
-1. One pass over whole texts makes each document's set of k-word shingles, its
-   identity hash, band keys from full minima, and the low `BITS` bits of all minima,
+1. One pass over whole texts makes each document's set of k-word shingles, the hash
+   of that set, band keys from full minima, and the low `BITS` bits of all minima,
    packed into longs.
 2. Documents of equal sets become one class (partial aggregation, so copies by the
-   million collapse before the shuffle). The class stands for its smallest doc_id.
+   million collapse before the shuffle). Classes are the nodes of what follows, known
+   by the hash of their set.
 3. Classes that share a band key meet: first each with its bucket's smallest class
    (a star: linear in the bucket). Packed signatures estimate the similarity by bit
    counts, corrected for chance collisions of low bits; pairs far below the
    threshold go. The rest are confirmed on the full sets, recomputed from the texts.
-   Buckets that still hold several components get further stars around members
-   least by a seeded hash, so that one odd leader doesn't keep a group apart.
-4. Components of the confirmed links. Buckets that still hold several components
-   are joined with themselves on the band key, with the estimate inside the join
-   condition, each pair in the first band that it shares. So a pair that shares a band is either in one component
-   already, far below the threshold by estimate, or confirmed exactly.
+   Buckets that still hold several components get a further star around members
+   least by a seeded hash.
+4. Components of the confirmed links; later links join components, so only these few
+   are searched again. Buckets that still hold several components are joined with
+   themselves on the band key, with the estimate inside the join condition. So a pair
+   that shares a band is either in one component already, far below the threshold by
+   estimate, or confirmed exactly. This last join looks, in each bucket, at every class
+   outside the bucket's largest component with every class of the bucket; only pairs
+   that pass leave it. `comparisons` measures how many it looks at.
 
 With 32 bands of 5 rows a pair at similarity 0.8 shares no band with probability
-3e-6, one at 0.85 with 2e-8. The estimate (640 minima of four bits) drops a pair
-only when it is 4.5 standard deviations (0.074) below the threshold.
+3e-6, one at 0.85 with 2e-8. The estimate (640 minima of two bits) drops a pair
+only when it is 4.5 standard deviations (0.085) below the threshold. Two bits take
+half the room of four, and keep the compiled comparison of two signatures below the
+size from which the JVM only interprets (0.3 instead of 11 microseconds a pair). Sets are told
+apart by 64-bit hashes: among a billion different texts two are taken for one with
+probability 3 percent.
+
+Texts go only where they are compared: up to `SMALL` pairs are broadcast to the
+texts (24 bytes each), more are joined by shuffle.
 
 Nulls and empty texts have empty sets and are linked with nothing. Texts of fewer
-than k words are one shingle. Rows that share a doc_id are one node: their links
-are joined. A null doc_id is a node of its own without links; component_id is then
-null and the row is kept. Extra columns pass through untouched.
+than k words are one shingle. Very long texts are read whole and take memory in
+proportion to themselves. Every row is a document of its own: rows that repeat a
+doc_id are linked by their texts alone. A null doc_id is linked like any other;
+component_id is the smallest doc_id of the group that isn't null, and null if there
+is none (kept is then true). An empty table gives an empty result. Extra columns pass
+through `remove_near_duplicates` untouched.
 """
 
 from __future__ import annotations
@@ -34,7 +48,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import textblocks as tb
 from .components import connected_components
@@ -42,11 +55,13 @@ from .shared import cut, free_name
 
 BANDS, ROWS = 32, 5
 #: Minima of a signature (the first BANDS * ROWS also make the bands) and the low bits kept of each.
-MINIMA, BITS = 640, 4
+MINIMA, BITS = 640, 2
 #: Longs of a packed signature.
 LONGS = MINIMA * BITS // 64
-#: Further stars of buckets with several components.
+#: Further stars of buckets with several components, at most.
 STARS = 1
+#: Pairs (or keys of rows that go) that are broadcast at most.
+SMALL = 500_000
 #: Standard deviations below the threshold at which an estimate drops a pair.
 MARGIN = 4.5
 
@@ -54,16 +69,7 @@ _rng = np.random.default_rng(97)
 _MULT = (_rng.integers(0, 2**31, MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)
 
-_SIGNED = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("n_shingles", T.LongType()),
-        T.StructField("set_a", T.LongType()),
-        T.StructField("set_b", T.LongType()),
-        T.StructField("bands", T.ArrayType(T.LongType())),
-        T.StructField("sig", T.ArrayType(T.LongType())),
-    ]
-)
+_SIGNED = "doc_id long, tie long, n_shingles long, node long, bands array<long>, sig array<long>"
 
 
 def shingle_sets(block: tb.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,15 +95,14 @@ def shingle_sets(block: tb.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the non-empty sets: two identity hashes, band keys (n x BANDS) and packed signatures (n x LONGS)."""
+    """Of the non-empty sets: their hashes, band keys (n x BANDS) and packed signatures (n x LONGS)."""
     size = np.diff(first)
     full = np.flatnonzero(size)
     at = first[:-1][full]
     if not len(full):
         zero = np.zeros(0, np.int64)
-        return zero, zero, np.zeros((0, BANDS), np.int64), np.zeros((0, LONGS), np.int64)
-    set_a = tb.mix(np.add.reduceat(tb.mix(h), at) + size[full].astype(np.uint64))
-    set_b = tb.mix(np.bitwise_xor.reduceat(tb.mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A)), at))
+        return zero, np.zeros((0, BANDS), np.int64), np.zeros((0, LONGS), np.int64)
+    node = tb.mix(np.add.reduceat(tb.mix(h), at) + size[full].astype(np.uint64))
     small = (h >> np.uint64(32)).astype(np.uint32)
     minima = np.empty((len(full), MINIMA), np.uint32)
     for j in range(MINIMA):
@@ -114,42 +119,46 @@ def signatures(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
     each = 64 // BITS
     low = low.reshape(len(full), LONGS, each) << (np.arange(each, dtype=np.uint64) * np.uint64(BITS))
     sig = np.bitwise_or.reduce(low, axis=2)
-    return set_a.view(np.int64), set_b.view(np.int64), bands.view(np.int64), sig.view(np.int64)
+    return node.view(np.int64), bands.view(np.int64), sig.view(np.int64)
 
 
 def _sign(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for block in tb.blocks(batch.column(1)):
+            for block in tb.blocks(batch.column(2)):
                 h, first = shingle_sets(block, k)
                 size = np.diff(first)
-                a, b, bands, sig = signatures(h, first)
+                node, bands, sig = signatures(h, first)
                 full = size > 0
-                n = len(size)
-                wide = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
-                wide[0][full], wide[1][full] = a, b
+                wide = np.zeros(len(size), np.int64)
+                wide[full] = node
                 lists = []
                 for values, width in ((bands, BANDS), (sig, LONGS)):
                     offsets = np.concatenate(([0], np.cumsum(full * width))).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel())))
-                yield pa.RecordBatch.from_arrays([ids[block.lo : block.hi], pa.array(size.astype(np.int64)), *(pa.array(x) for x in wide), *lists], names=_SIGNED.names)
+                ids = (batch.column(i)[block.lo : block.hi] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(size.astype(np.int64)), pa.array(wide, mask=~full), *lists], names=["doc_id", "tie", "n_shingles", "node", "bands", "sig"])
 
     return run
 
 
-def _same(a: str, b: str) -> Column:
-    """Matching minima of two packed signatures, by bit counts."""
+def wide(side: str, sig: str = "sig") -> list[Column]:
+    """A packed signature as a column for each long: what is compiled from them stays small enough for the JVM to compile in turn."""
+    return [F.coalesce(F.col(sig)[i], F.lit(0)).alias(f"{side}{i}") for i in range(LONGS)]
+
+
+def _same(a: str, b: str, longs: int = LONGS) -> Column:
+    """Matching minima in the first longs of two signatures (columns as from `wide`), by bit counts."""
     lanes = sum(1 << i for i in range(0, 64, BITS))
     total: Column = F.lit(0)
-    for i in range(LONGS):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+    for i in range(longs):
+        x = F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))
         shift = 1
         while shift < BITS:  # gather each lane's bits in its lowest
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
             shift *= 2
         total = total + F.bit_count(x.bitwiseAND(F.lit(lanes if lanes < 2**63 else lanes - 2**64)))
-    return F.lit(MINIMA) - total
+    return F.lit(longs * 64 // BITS) - total
 
 
 def estimate(a: str, b: str) -> Column:
@@ -158,10 +167,18 @@ def estimate(a: str, b: str) -> Column:
     return (_same(a, b) / F.lit(float(MINIMA)) - chance) / (1.0 - chance)
 
 
-def cutoff(threshold: float) -> float:
+def cutoff(threshold: float, minima: int = MINIMA) -> float:
     chance = 2.0**-BITS
     match = threshold + (1 - threshold) * chance
-    return threshold - MARGIN * float(np.sqrt(match * (1 - match) / MINIMA)) / (1 - chance)
+    return threshold - MARGIN * float(np.sqrt(match * (1 - match) / minima)) / (1 - chance)
+
+
+def close(a: str, b: str, threshold: float) -> Column:
+    """The estimate isn't below the cutoff; a first look at a fifth of the minima, with its own cutoff, spares most pairs the rest."""
+    chance = 2.0**-BITS
+    least = lambda n: int(np.ceil((cutoff(threshold, n) * (1 - chance) + chance) * n - 1e-9))
+    few = LONGS // 5 * 64 // BITS
+    return (_same(a, b, LONGS // 5) >= least(few)) & (_same(a, b) >= least(MINIMA))
 
 
 def _confirm(k: int, num: int, den: int):
@@ -192,90 +209,142 @@ def _confirm(k: int, num: int, den: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough; a hot a is split by Spark's skew join."""
-    texts = docs.where(F.col("doc_id").isNotNull())
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = cut(texts.join(need, "doc_id", "left_semi"))
-    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, num, den), "a long, b long").distinct()
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, small: int) -> DataFrame:
+    """Those of the pairs (a, tie_a, b, tie_b) whose full sets are similar enough, as (a, b); texts: (tie, text).
 
-
-def mixed_buckets(shared: DataFrame, linked: DataFrame) -> DataFrame:
-    """(band, node, c) of the buckets that hold several components; an unlinked class is its own."""
-    here = shared.select("band", "node").join(linked.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    mixed = here.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("band")
+    The text of b comes to its pairs, then goes to its a; a hot a is split by Spark's skew join.
+    """
+    few = pairs.count() <= small
+    near = F.broadcast if few else lambda df: df
+    one = texts.withColumnsRenamed({"tie": "tie_b", "text": "text_b"}).join(near(pairs), "tie_b").select("a", "b", "text_b")
+    lead = texts.withColumnsRenamed({"tie": "tie_a", "text": "text_a"}).join(near(pairs.select("a", "tie_a").distinct()), "tie_a").select("a", "text_a")
+    return one.join(lead, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, num, den), "a long, b long").distinct()
+
+
+def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after further links; components that were found before are searched as one node each."""
+    if labels is None:
+        return connected_components(links)
+    of = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    moved = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = moved.select(F.col("component").alias("node"), F.col("to").alias("component")).join(labels, "node", "left_anti")
+    return cut(old.union(new))
+
+
+def _placed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, node, c) of shared buckets; a class without links is its own component."""
+    return shared.select("band", "node").join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+
+
+def mixed_buckets(shared: DataFrame, labels: DataFrame, star: int) -> DataFrame:
+    """(band, node, c, lead, c_lead) of the buckets that hold several components, with a leader each."""
+    here = _placed(shared, labels)
+    lead = F.min(F.struct(F.xxhash64(F.lit(star), "node").alias("h"), F.col("node").alias("lead"), F.col("c").alias("c_lead"))).alias("l")
+    mixed = here.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), lead).where("lo != hi").select("band", "l.lead", "l.c_lead")
     return here.join(mixed, "band")
 
 
-def near_duplicate_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
+def outsiders(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, node, c, big) of the buckets that hold several components, and the component that has most of the bucket."""
+    here = _placed(shared, labels)
+    sizes = here.groupBy("band", "c").agg(F.count("*").alias("m"))
+    big = sizes.groupBy("band").agg(F.max_by("c", F.struct("m", "c")).alias("big"), F.count("*").alias("several")).where("several > 1").select("band", "big")
+    return here.join(big, "band")
 
-    Links: documents whose k-word shingle sets have den * intersection >= num * union.
-    """
-    docs = docs.select("doc_id", "text")
-    signed = cut(docs.mapInArrow(_sign(k), _SIGNED))
-    known = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    # Members of each class; a doc_id in several classes links them.
-    member = known.select("set_a", "set_b", "n_shingles", "doc_id").distinct().join(classes, ["set_a", "set_b", "n_shingles"]).select(F.col("doc_id").alias("b"), F.col("rep").alias("a")).where("a != b")
-    reps = known.join(classes.select("set_a", "set_b", "n_shingles", F.col("rep").alias("doc_id")), ["set_a", "set_b", "n_shingles", "doc_id"], "left_semi")
-    reps = cut(reps.groupBy("doc_id", "set_a", "set_b").agg(*(F.first(c).alias(c) for c in ("bands", "sig", "n_shingles"))).drop("set_a", "set_b"))
-    sigs = reps.select("doc_id", "sig", F.col("n_shingles").alias("n"))
-    bands = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("node"))
+
+def comparisons(buckets: DataFrame) -> tuple[int, int, int]:
+    """Of `outsiders`: the largest bucket, the pairs that the last join looks at in the bucket with most, and in all."""
+    n = buckets.groupBy("band").agg(F.count("*").alias("m"), F.count_if(F.col("c") != F.col("big")).alias("out"))
+    pairs = F.col("m") * F.col("out")
+    return tuple(n.agg(*(F.coalesce(x, F.lit(0)) for x in (F.max("m"), F.max(pairs), F.sum(pairs)))).first())
+
+
+def signed_documents(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, tie, n_shingles, node, bands, sig) of docs (doc_id, tie, text); node is null for an empty set."""
+    return cut(docs.select("doc_id", "tie", "text").mapInArrow(_sign(k), _SIGNED))
+
+
+def components_of(signed: DataFrame, docs: DataFrame, *, k: int, num: int, den: int, small: int = SMALL) -> DataFrame:
+    """(node, component, least, tie) of each class: its component, its least doc_id (nulls last) and the tie of a text of it."""
+    known = signed.where(F.col("node").isNotNull())
+    reps = cut(known.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("tie").alias("tie"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "sig"))))
+    texts = docs.select("tie", "text")
+    if not known.groupBy("tie").count().where("count > 1").isEmpty():  # rows alike in every column: one text will do
+        texts = texts.join(known.select("tie").distinct(), "tie", "left_semi").dropDuplicates(["tie"])
+    bands = reps.select(F.explode("bands").alias("band"), "node")
     buckets = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("band", "a")
     shared = cut(bands.join(buckets, "band"))
-    low = cutoff(num / den)
     # Sets of very different sizes can't be similar enough.
-    fits = lambda x, y: (den * F.least(x, y) >= num * F.greatest(x, y)) & (estimate(f"sig_{x[-1]}", f"sig_{y[-1]}") >= low)
-    of = lambda s: sigs.select(F.col("doc_id").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}"))
-    tried = links = linked = None
-    for star in range(1 + STARS):
-        if star == 0:
-            pairs = shared.where("a != node").select("a", F.col("node").alias("b"))
-        else:
-            here = mixed_buckets(shared, linked)
-            lead = F.min(F.struct(F.xxhash64(F.lit(star), "node").alias("h"), F.col("node").alias("a"), F.col("c").alias("c_a")))
-            leaders = here.groupBy("band").agg(lead.alias("l")).select("band", "l.a", "l.c_a")
-            pairs = here.join(leaders, "band").where("c != c_a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        pairs = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs.join(of("b"), "b").join(of("a"), "a").where(fits("n_a", "n_b")).select("a", "b"))
-        tried = pairs if tried is None else tried.union(pairs)
-        if star and pairs.isEmpty():
+    fits = lambda x, y: (den * F.least(f"n_{x}", f"n_{y}") >= num * F.greatest(f"n_{x}", f"n_{y}")) & close(x, y, num / den)
+    of = lambda s: reps.select(F.col("node").alias(s), F.col("tie").alias(f"tie_{s}"), F.col("n_shingles").alias(f"n_{s}"), *wide(s))
+
+    def links_of(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The confirmed ones of pairs (a, b), and all that the estimate let through."""
+        pairs = cut(pairs.distinct().join(of("b"), "b").join(of("a"), "a").where(fits("a", "b")).select("a", "tie_a", "b", "tie_b"))
+        return cut(_verified(pairs, texts, k, num, den, small)), pairs.select("a", "b")
+
+    links, tried = links_of(shared.where("a != node").select("a", F.col("node").alias("b")))
+    labels = _relabel(None, links)
+    for star in range(1, 1 + STARS):
+        here = mixed_buckets(shared, labels, star)
+        links, more = links_of(here.where("c != c_lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")))
+        tried = tried.union(more)
+        if links.isEmpty():
             break
-        more = cut(_verified(pairs, docs, k, num, den))
-        if star == 0 or not more.isEmpty():
-            links = more if links is None else links.union(more)
-            linked = connected_components(links)
-    here = mixed_buckets(shared, linked).join(reps.select(F.col("doc_id").alias("node"), "sig", "bands", F.col("n_shingles").alias("n")), "node")
-    x, y = (here.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "c", "sig", "bands", "n"))) for s in "xy")
+        labels = _relabel(labels, links)
+    here = outsiders(shared, labels).join(reps.select("node", F.col("n_shingles").alias("n"), "sig", "bands"), "node")
+    x, y = (here.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "c", "big", "n", "bands")), *wide(s)) for s in "xy")
+    across = (F.col("c_x") != F.col("c_y")) & ((F.col("c_y") == F.col("big_y")) | (F.col("c_x") < F.col("c_y")))
+    # Every bucket that a pair shares looks at it once; the least band gives it.
     earlier = F.exists(F.arrays_zip("bands_x", "bands_y"), lambda z: (z["bands_x"] == z["bands_y"]) & (z["bands_x"] < x["band"]))
-    pairs = x.join(y, (x["band"] == y["band"]) & (F.col("c_x") < F.col("c_y")) & fits("n_x", "n_y") & ~earlier)
-    pairs = cut(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).join(tried, ["a", "b"], "left_anti"))
+    pairs = x.where("c_x != big_x").join(y, (x["band"] == y["band"]) & across & fits("x", "y") & ~earlier).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
-        more = cut(_verified(pairs, docs, k, num, den))
-        if not more.isEmpty():
-            links = links.union(more)
-            linked = connected_components(links)
-    # Copies follow their class; a doc_id of several classes ties them together.
-    tied = member.join(member.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b"), "b", "left_semi")
-    ties = tied.union(member.join(classes.select(F.col("rep").alias("b")), "b", "left_semi").select("b", "a"))
-    ties = cut(ties.distinct())
-    if not ties.isEmpty():
-        linked = connected_components(links.select("a", "b").union(ties.select("a", "b")))
-    of_rep = linked.select(F.col("node").alias("a"), F.col("component"))
-    placed = member.groupBy("b").agg(F.min("a").alias("a")).join(of_rep, "a", "left").select(F.col("b").alias("doc_id"), F.coalesce("component", "a").alias("via"))
-    own = linked.select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
-    out = signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left").join(own, "doc_id", "left")
-    component = F.coalesce(F.least(F.when(F.col("n_shingles") > 0, F.coalesce("own", "via")), F.when(F.col("n_shingles") > 0, F.coalesce("via", "own"))), F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def remove_near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each group of near duplicates, the one of the smallest doc_id."""
-    gone = near_duplicate_classes(docs, k=k, num=num, den=den).where(~F.col("kept")).select(F.col("doc_id").alias(free_name(docs, "gone"))).distinct()
-    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
+        links, _ = links_of(pairs)
+        labels = _relabel(labels, links)
+    out = reps.select("node", "least", "tie").join(labels, "node", "left")
+    return out.select("node", F.coalesce("component", "node").alias("component"), "least", "tie")
+
+
+def near_duplicate_classes(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, small: int = SMALL) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
+
+    Links: documents whose k-word shingle sets have den * intersection >= num * union.
+    """
+    docs = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("doc_id", "text"))
+    signed = signed_documents(docs, k)
+    classes = cut(components_of(signed, docs, k=k, num=num, den=den, small=small))
+    least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = classes.select("node", "component").join(least, "component").select("node", "component_id")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = signed.select("doc_id", "n_shingles", "node").join(of, "node", "left").withColumn("component_id", component)
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+
+
+def remove_near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, small: int = SMALL) -> DataFrame:
+    """docs with one row of each group of near duplicates, one of the smallest doc_id (nulls last).
+
+    Rows are told apart by the hash of all their columns; of rows alike in every column one stays. Rows without words
+    are no duplicates of anything and all stay.
+    """
+    tie, gone = free_name(docs, "row_tie"), free_name(docs, "gone")
+    keyed = docs.withColumn(tie, F.xxhash64(*docs.columns))
+    narrow = keyed.select("doc_id", F.col(tie).alias("tie"), "text")
+    signed = signed_documents(narrow, k)
+    classes = components_of(signed, narrow, k=k, num=num, den=den, small=small).select("node", "component")
+    rows = signed.where(F.col("node").isNotNull()).groupBy("node", "tie").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("alike"))
+    rows = cut(rows.join(classes, "node").select("component", "tie", "alike", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie").alias("place")))
+    first = rows.groupBy("component").agg(F.min("place").alias("first"))
+    out = cut(rows.join(first, "component").select("tie", "alike", (F.col("place") == F.col("first")).alias("stays")))
+    near = lambda df: F.broadcast(df) if df.count() <= small else df
+    left = keyed.join(near(out.where("NOT stays").select(F.col("tie").alias(gone))), F.col(tie) == F.col(gone), "left_anti")
+    many = out.where("stays AND alike > 1").select(F.col("tie").alias(gone))
+    if many.isEmpty():
+        return left.drop(tie)
+    one = left.join(near(many), F.col(tie) == F.col(gone), "left_semi").dropDuplicates([tie])
+    return left.join(near(many), F.col(tie) == F.col(gone), "left_anti").union(one).drop(tie)
 
 
 ORACLE = r"""

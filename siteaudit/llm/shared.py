@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,13 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; sets one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; where none is named, one on this machine if all runs on it (tests), else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir()
-        if not named:
-            named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-            spark.sparkContext.setCheckpointDir(named)
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that the driver and the executors of {master} share")
+        named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -31,16 +33,9 @@ def new_folder(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame as a checkpoint in the shared folder; lost executors cost nothing but a reread.
-
-    Shuffle files of steps before go when the driver collects the garbage that refers to them, so it does so here:
-    a job of many steps then holds the files of a few on disk, not of all.
-    """
+    """The frame as a checkpoint in the shared folder; lost executors cost nothing but a reread."""
     shared_folder(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return df.checkpoint(eager=True)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -289,6 +289,13 @@ def test_mixing(spark, odd, none):
         assert abs(sum(r["taken"] for r in got if of[r["doc_id"]] == s) - target[s]) < 1
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_digest(df.repartition(7)).collect()))
     assert mixing.mix_digest(odd).count() == len(ODD) and mixing.mix_digest(none).count() == 0
+    # Ten rows alike in every column, and ten without an id: the mix ends within half a document of the target.
+    for doc_id in (1, None):
+        ten = spark.createDataFrame([(doc_id, "w " * 40, "en", "a", 1)] * 10 + [(2, "v " * 30, "en", "b", 1)] * 10, DOCS)
+        got = mixing.mix_documents(ten).groupBy("source").count().collect()
+        want = {r["source"]: r["target"] / (40 if r["source"] == "a" else 30) for r in mixing.mix_digest(ten).select("source_size", "target", "doc_id").withColumn("source", F.when(F.col("doc_id") == 2, "b").otherwise("a")).collect()}
+        assert {r["source"] for r in got} == set(want) and all(abs(r["count"] - want[r["source"]]) <= 0.5 for r in got)
+    assert mixing.mix_documents(none).count() == 0 and mixing.mix_documents(odd).columns == odd.columns
     mixed = mixing.mix_documents(df.withColumn("copies", F.lit("x")))
     assert mixed.columns == [*df.columns, "copies"] and max(r["count"] for r in mixed.groupBy("doc_id").count().collect()) <= 2
 
@@ -441,13 +448,24 @@ def test_near_duplicates(spark, odd, none):
                 least = min(comp[a], comp[b])
                 changed |= comp[a] != comp[b]
                 comp[a] = comp[b] = least
-        got = near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), k=k).collect()
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = near_dedup.near_duplicate_classes(df, k=k).collect()
+        if k == 5:  # the same rows by shuffled joins as by broadcasts
+            assert sorted(near_dedup.near_duplicate_classes(df, k=k, small=-1).collect()) == sorted(got)
+            for small in (near_dedup.SMALL, -1):
+                assert sorted(r["doc_id"] for r in near_dedup.remove_near_duplicates(df, small=small).collect()) == sorted(r["doc_id"] for r in got if r["kept"])
         for r in got:
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), comp[r["doc_id"]], comp[r["doc_id"]] == r["doc_id"])
     out = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicate_classes(odd).collect()}
     assert (6, 1, 3, False) in out and (None, 1, None, True) in out and (1, 0, 1, True) in out
     assert near_dedup.near_duplicate_classes(none).count() == 0
-    assert near_dedup.remove_near_duplicates(odd.withColumn("gone", F.lit(1))).count() == len(ODD) - 1
+    # Of the three rows "one" (two of them alike in every column) one stays, though doc_id 3 repeats; rows without words stay.
+    for small in (near_dedup.SMALL, -1):
+        left = near_dedup.remove_near_duplicates(odd.withColumn("gone", F.lit(1)), small=small)
+        assert left.columns[-1] == "gone" and sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 5, 7, 8]
+    same = spark.createDataFrame([(7, "a b c d e f", "x")] * 3 + [(None, "a b c d e f", "x")] * 3 + [(8, "a b c d e f g", "y"), (8, "p q r s t u", "y")], "doc_id long, text string, source string")
+    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.remove_near_duplicates(same, num=50).collect()) == [(7, "a b c d e f"), (8, "p q r s t u")]
+    assert near_dedup.remove_near_duplicates(none).count() == 0
 
 
 def test_estimate(spark):
@@ -455,10 +473,12 @@ def test_estimate(spark):
     for share in (0.5, 0.8, 0.95):
         common, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (int(4000 * share), int(2000 * (1 - share)), int(2000 * (1 - share))))
         x, y = np.unique(np.concatenate([common, a])), np.unique(np.concatenate([common, b]))
-        sig = near_dedup.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))[3]
+        sig = near_dedup.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))[2]
         true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
         df = spark.createDataFrame([(sig[0].tolist(), sig[1].tolist())], "sa array<long>, sb array<long>")
-        assert abs(df.select(near_dedup.estimate("sa", "sb")).first()[0] - true) < 0.08
+        df = df.select(*near_dedup.wide("a", "sa"), *near_dedup.wide("b", "sb"))
+        assert abs(df.select(near_dedup.estimate("a", "b")).first()[0] - true) < 0.08
+        assert df.select(near_dedup.close("a", "b", 0.8)).first()[0] == (share >= 0.8)
 
 
 def test_components(spark):
