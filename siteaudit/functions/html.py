@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import jsonld
-from .urls import resolve, same_site
+from .urls import join, resolve, same_site
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template".split())
 #: An opening tag ends these open elements.
 ENDS = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+    "a": {"a"}, "button": {"button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     **dict.fromkeys("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split(), {"p"}),
 }
+LEVELS = {f"h{i}": i for i in range(1, 7)}
 SCOPES = frozenset("table td th button ul ol dl div article section body html".split())
 
 
@@ -31,6 +32,9 @@ class Node:
     attrs: dict[str, str] = field(default_factory=dict)
     parent: Node | None = None
     children: list[Node | str] = field(default_factory=list)
+    #: Something below it is text other than white space; some image below it has a text.
+    has_text: bool = False
+    has_named_image: bool = False
 
     def walk(self) -> Iterator[Node]:
         """All elements below, in document order."""
@@ -67,10 +71,17 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#")
         self.open = [self.root]
+        self.nodes: list[Node] = []
         self.feed(html)
         self.close()
+        for n in reversed(self.nodes):  # children come after their parents
+            if n.parent is not None:
+                n.parent.has_text |= n.has_text
+                n.parent.has_named_image |= n.has_named_image or (n.tag == "img" and bool(n.attrs.get("alt", "").strip()))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in LEVELS and self.open[-1].tag in LEVELS:  # a heading right inside a heading ends it
+            del self.open[-1]
         ends = ENDS.get(tag)
         if ends:
             for i in range(len(self.open) - 1, 0, -1):
@@ -84,6 +95,7 @@ class Tree(HTMLParser):
             known.setdefault(k, v or "")
         node = Node(tag, known, self.open[-1])
         self.open[-1].children.append(node)
+        self.nodes.append(node)
         if tag not in VOID:
             self.open.append(node)
 
@@ -98,6 +110,8 @@ class Tree(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
+        if not data.isspace():
+            self.open[-1].has_text = True
 
 
 # ---- a subset of CSS selectors for extractors ----
@@ -200,8 +214,8 @@ SIGNALS = T.StructType(
     + [T.StructField(n, T.ArrayType(_S)) for n in ("h1", "internal_links", "external_links", "schema_types", "headings")]
     + [T.StructField("text_ratio", T.DoubleType()), T.StructField("hreflang", T.ArrayType(_HREFLANG)), T.StructField("schema_validations", T.ArrayType(_VALIDATION))]
 )
-_LEVELS = {f"h{i}": i for i in range(1, 7)}
 _SOURCES = {"img": "src", "script": "src", "iframe": "src", "audio": "src", "video": "src", "source": "src", "embed": "src", "link": "href", "object": "data"}
+_BUTTONS = {"button", "submit", "reset"}
 _NO_LABEL = {"hidden", "submit", "button", "reset", "image"}
 
 
@@ -219,10 +233,12 @@ def blocks_zoom(content: str) -> bool:
     return False
 
 
+def _labelled(a: dict[str, str]) -> bool:
+    return any(a.get(x, "").strip() for x in ("aria-label", "aria-labelledby", "title"))
+
+
 def _named(n: Node) -> bool:
-    if n.text() or any(n.attrs.get(a, "").strip() for a in ("aria-label", "aria-labelledby", "title")):
-        return True
-    return any(c.tag == "img" and c.attrs.get("alt", "").strip() for c in n.walk())
+    return n.has_text or n.has_named_image or _labelled(n.attrs)
 
 
 def signals(url: str, html: str) -> dict:
@@ -230,6 +246,7 @@ def signals(url: str, html: str) -> dict:
     root = Tree(html).root
     out: dict = dict.fromkeys(_TEXTS) | dict.fromkeys(_COUNTS, 0) | dict.fromkeys(_FLAGS, False)
     host = (urlsplit(url).hostname or "").lower()
+    meta_author = False
     h1: list[str] = []
     links: tuple[dict[str, None], dict[str, None]] = ({}, {})
     hreflang, blocks, headings = [], [], []
@@ -250,9 +267,9 @@ def signals(url: str, html: str) -> dict:
                 out["meta_robots"] = content.lower()
             elif name == "viewport":
                 out["has_viewport"] = True
-                out["viewport_blocks_zoom"] = out["viewport_blocks_zoom"] or blocks_zoom(content)
-            elif name == "author" and content.strip():
-                out["has_author"] = True
+                out["viewport_blocks_zoom"] = blocks_zoom(content)
+            elif name == "author":  # of several the last counts, as for the others
+                meta_author = bool(content.strip())
             if prop == "og:title":
                 out["og_title"] = content
             elif prop == "og:image":
@@ -262,10 +279,11 @@ def signals(url: str, html: str) -> dict:
             if prop in ("article:published_time", "article:modified_time"):
                 out["has_date"] = True
         elif tag == "link" and "href" in a:
-            if "canonical" in n.rels():
-                out["canonical"] = resolve(url, a["href"])
-            if "alternate" in n.rels() and "hreflang" in a:
-                hreflang.append({"lang": a["hreflang"], "href": resolve(url, a["href"]) or a["href"]})
+            rels = n.rels()
+            if "canonical" in rels:
+                out["canonical"] = resolve(url, a["href"]) or out["canonical"]
+            if "alternate" in rels and "hreflang" in a:
+                hreflang.append({"lang": a["hreflang"], "href": join(url, a["href"])})
         elif tag == "html" and out["lang"] is None:
             out["lang"] = a.get("lang", "").strip() or None
         elif tag == "body" and body is None:
@@ -284,12 +302,16 @@ def signals(url: str, html: str) -> dict:
             out["buttons_total"] += 1
             out["buttons_no_text"] += not _named(n)
         elif tag in ("input", "select", "textarea"):
-            if not (tag == "input" and a.get("type", "").lower() in _NO_LABEL):
+            kind = a.get("type", "").lower() if tag == "input" else ""
+            if kind in _BUTTONS:  # its name is its value
+                out["buttons_total"] += 1
+                out["buttons_no_text"] += not (a.get("value", "").strip() or _labelled(a))
+            if kind not in _NO_LABEL:
                 controls.append(n)
         elif tag == "label" and a.get("for"):
             labelled.add(a["for"])
         elif tag == "iframe":
-            out["iframes_no_title"] += not a.get("title", "").strip()
+            out["iframes_no_title"] += not _labelled(a)
         elif tag in ("main", "article"):
             out["semantic_html"] = True
         elif tag in ("ul", "ol", "table"):
@@ -302,8 +324,8 @@ def signals(url: str, html: str) -> dict:
             blocks.append("".join(n.texts()))
         elif tag == "time" and "datetime" in a:
             out["has_date"] = True
-        if tag in _LEVELS:
-            level, text = _LEVELS[tag], n.text()
+        if tag in LEVELS:
+            level, text = LEVELS[tag], n.text()
             headings.append(f"{level}:{text}")
             if tag == "h1" and text:
                 h1.append(text)
@@ -314,18 +336,20 @@ def signals(url: str, html: str) -> dict:
             if last_level and level > last_level + 1:
                 out["skipped_heading"] = True
             last_level = level
-        if "author" in n.rels() or {"author", "byline"} & set(a.get("class", "").split()):
+        if not a:
+            continue
+        if ("rel" in a and "author" in n.rels()) or ("class" in a and {"author", "byline"} & set(a["class"].split())):
             out["has_author"] = True
-        if re.fullmatch(r"\+?[0-9]+", a.get("tabindex", "").strip()) and 0 < int(a["tabindex"]) < 2**31:
+        if "tabindex" in a and re.fullmatch(r"\+?[0-9]+", a["tabindex"].strip()) and 0 < int(a["tabindex"]) < 2**31:
             out["positive_tabindex"] += 1
-        if secure and tag in _SOURCES:
-            source = a.get("src") or a.get("href") or a.get("data") or ""
-            if _SOURCES[tag] in a and source.startswith("http://"):
-                out["mixed_content"] += 1
+        if secure and tag in _SOURCES and _SOURCES[tag] in a:
+            # The first attribute that is there decides, an empty one too.
+            source = next(a[x] for x in ("src", "href", "data") if x in a)
+            out["mixed_content"] += source.lstrip().startswith("http://")
     out.pop("seen title", None)
     for n in controls:
         out["controls_total"] += 1
-        named = any(n.attrs.get(x, "").strip() for x in ("aria-label", "aria-labelledby", "title")) or n.attrs.get("id", "\0") in labelled
+        named = _labelled(n.attrs) or n.attrs.get("id", "\0") in labelled
         up = n.parent
         while not named and up is not None:
             named, up = up.tag == "label", up.parent
@@ -339,7 +363,7 @@ def signals(url: str, html: str) -> dict:
     out |= {
         "text": text, "word_count": len(text.split()), "text_ratio": min(1.0, len(text.encode()) / size) if size else 0.0, "h1": h1, "headings": headings,
         "internal_links": list(links[0]), "external_links": list(links[1]), "hreflang": hreflang, "schema_types": types, "schema_validations": items,
-        "invalid_jsonld": invalid, "faq_schema": any(t in jsonld.FAQ_TYPES for t in types), "has_author": out["has_author"] or '"author"' in raw, "has_date": out["has_date"] or '"datepublished"' in raw,
+        "invalid_jsonld": invalid, "faq_schema": any(t in jsonld.FAQ_TYPES for t in types), "has_author": out["has_author"] or meta_author or '"author"' in raw, "has_date": out["has_date"] or '"datepublished"' in raw,
     }
     return out
 

@@ -77,6 +77,15 @@ def resolve(base: str, href: str) -> str | None:
     return None if full is None else full.partition("#")[0]
 
 
+def join(base: str, href: str) -> str:
+    """An address as it is found from a page, fragment included; what can't be joined stays."""
+    try:
+        joined = urljoin(base, href.strip().replace("\\", "/"))
+    except ValueError:
+        return href
+    return normalize(joined) or joined
+
+
 def same_site(a: str, b: str) -> bool:
     return a.removeprefix("www.") == b.removeprefix("www.")
 

@@ -40,10 +40,10 @@ def with_duplicates(pages: DataFrame) -> DataFrame:
 
 
 def first_of_content(pages: DataFrame) -> DataFrame:
-    """Adds duplicate_of: the url of the first page with the same content hash, for all but that one."""
+    """Adds duplicate_of: the url of the first page with the same content hash, for pages of any other url."""
     first = pages.where(F.col("content_hash").isNotNull()).groupBy(F.col("content_hash").alias("_h")).agg(F.min(F.struct("page_id", "url")).alias("_f"), F.count("*").alias("_n")).where("_n > 1")
     out = pages.join(first, F.col("content_hash") == F.col("_h"), "left")
-    return out.withColumn("duplicate_of", F.when(F.col("_f.page_id") != F.col("page_id"), F.col("_f.url"))).drop("_h", "_f", "_n")
+    return out.withColumn("duplicate_of", F.when(F.col("_f.url") != F.col("url"), F.col("_f.url"))).drop("_h", "_f", "_n")
 
 
 def rules() -> list[tuple[str, Column, Column | None]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import urls
 from .catalog import label
 
 # Weights of the readiness signals, accessibility penalties and severities.
@@ -54,10 +55,16 @@ def health_score(pages: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def seo_scores(pages: DataFrame, issues: DataFrame) -> DataFrame:
-    """(url, seo_score): 100 less the penalties of the page's issues; readiness and accessibility have scores of their own."""
+    """(url, seo_score): 100 less the penalties of the page's issues, 0 for any status but 200; readiness and accessibility have scores of their own.
+
+    Issues meet pages by the normal form of their urls. Penalties are summed by the url as it is written, so only one row
+    for each is normalised.
+    """
     lost = issues.groupBy("url").agg(F.sum(_weighted(SEO_PENALTY)).alias("lost"))
-    out = pages.select("url", "status").join(lost, "url", "left")
-    return out.select("url", F.round(F.greatest(F.lit(0.0), 100.0 - F.coalesce("lost", F.lit(0.0)))).cast("int").alias("seo_score"))
+    lost = lost.groupBy(urls.norm_url("url").alias("_key")).agg(F.sum("lost").alias("lost"))
+    out = pages.select("url", "status", urls.norm_url("url").alias("_key")).join(lost, "_key", "left")
+    score = F.round(F.greatest(F.lit(0.0), 100.0 - F.coalesce("lost", F.lit(0.0)))).cast("int")
+    return out.select("url", F.when(F.col("status") == 200, score).otherwise(0).alias("seo_score"))
 
 
 def site_scores(pages: DataFrame) -> DataFrame:

@@ -7,14 +7,19 @@ import html as _html
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .cuts import cut
 from .catalog import CATEGORIES, label, rank
 from .triage import group_issues, problems
 
-TABLES = ("pages", "issues", "crawls")
+TABLES = ("pages", "issues", "edges", "crawls")
 
 
 class CrawlStore:
-    """Tables pages, issues and crawls under a folder. `crawls` is written last: a crawl without it isn't there."""
+    """Tables pages, issues, edges and crawls under a folder, by crawl_id.
+
+    `crawls` is the mark of a whole crawl: it goes first and comes last, so a crawl that is being replaced, or whose saving
+    broke off, isn't listed and can't be read.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -22,21 +27,41 @@ class CrawlStore:
     def _path(self, table: str, crawl_id: str) -> str:
         return f"{self.folder}/{table}/crawl_id={crawl_id}"
 
-    def save(self, crawl_id: str, pages: DataFrame, issues: DataFrame, meta: DataFrame) -> None:
-        """Replaces the crawl of this id."""
-        for name, df in zip(TABLES, (pages, issues, meta)):
+    def save(self, crawl_id: str, pages: DataFrame, issues: DataFrame, meta: DataFrame, edges: DataFrame | None = None) -> None:
+        """Replaces the crawl of this id; edges are (src, dst) between page_ids."""
+        self._remove("crawls", crawl_id)
+        for name, df in zip(TABLES, (pages, issues, edges, meta)):
+            if df is not None:
+                df.drop("crawl_id").write.mode("overwrite").parquet(self._path(name, crawl_id))
+
+    def update_pages(self, crawl_id: str, derived: DataFrame) -> None:
+        """Writes columns that other pages decide (page_id, and inlinks, link_score, duplicate_of, seo_score or others) back into the stored pages."""
+        meta = cut(self.load("crawls", crawl_id))
+        old = self.load("pages", crawl_id)
+        new = cut(old.drop(*(c for c in derived.columns if c != "page_id")).join(derived, "page_id", "left"))
+        self._remove("crawls", crawl_id)
+        for name, df in (("pages", new), ("crawls", meta)):
             df.drop("crawl_id").write.mode("overwrite").parquet(self._path(name, crawl_id))
 
+    def next_id(self, crawl_id: str) -> int:
+        """One more than the largest page_id of a crawl; 0 for none."""
+        return self.load("pages", crawl_id).agg(F.coalesce(F.max("page_id") + 1, F.lit(0))).first()[0]
+
     def load(self, table: str, crawl_id: str | None = None) -> DataFrame:
-        df = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.folder}/{table}").parquet(f"{self.folder}/{table}")
+        """A table of the whole crawls, or of one."""
+        read = lambda name: self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.folder}/{name}").parquet(f"{self.folder}/{name}").withColumn("crawl_id", F.col("crawl_id").cast("string"))
+        df = read(table)
+        if table != "crawls":
+            df = df.join(F.broadcast(read("crawls").select("crawl_id").distinct()), "crawl_id", "left_semi")
         return df if crawl_id is None else df.where(F.col("crawl_id") == crawl_id)
 
+    def _remove(self, table: str, crawl_id: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(table, crawl_id))
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
     def delete(self, crawl_id: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in reversed(TABLES):
-            p = jvm.org.apache.hadoop.fs.Path(self._path(name, crawl_id))
-            p.getFileSystem(conf).delete(p, True)
+            self._remove(name, crawl_id)
 
     def crawls(self) -> DataFrame:
         """Newest first."""
@@ -57,14 +82,15 @@ def page_changes(old: DataFrame, new: DataFrame, most: int | None = None) -> Dat
 
 
 def issue_changes(old: DataFrame, new: DataFrame, samples: int = 5) -> DataFrame:
-    """(change, rule, n, samples): issues whose (url, rule) the other crawl lacks, counted by rows."""
+    """(change, rule, title, category, severity, n, samples): issues whose (url, rule) the other crawl lacks, counted by rows."""
     both = []
     for change, a, b in (("new", new, old), ("resolved", old, new)):
         rows = a.join(b.select("url", "rule").distinct(), ["url", "rule"], "left_anti")
         # Spark limits each rule's rows before the shuffle, so a frequent rule stays small.
         few = rows.select("rule", "url").distinct().withColumn("i", F.row_number().over(Window.partitionBy("rule").orderBy("url"))).where(F.col("i") <= samples)
         few = few.groupBy("rule").agg(F.sort_array(F.collect_list("url")).alias("samples"))
-        out = rows.groupBy("rule").agg(F.count("*").alias("n")).join(few, "rule").select(F.lit(change).alias("change"), "rule", "n", "samples")
+        names = [c for c in ("title", "category", "severity") if c in rows.columns]
+        out = rows.groupBy("rule", *names).agg(F.count("*").alias("n")).join(few, "rule").select(F.lit(change).alias("change"), "rule", *names, "n", "samples")
         both.append(out)
     return both[0].union(both[1])
 

@@ -29,7 +29,7 @@ def group_issues(issues: DataFrame, samples: int = 5) -> DataFrame:
 def top_fixes(issues: DataFrame, k: int = 5) -> DataFrame:
     """The k rules of highest impact: severity weight times the root of the count."""
     counts = problems(issues).groupBy("rule").agg(F.count("*").alias("n"))
-    known = F.broadcast(rule_table(issues.sparkSession).select("rule", "title", "severity", "how_to_fix"))
+    known = F.broadcast(rule_table(issues.sparkSession).select("rule", "title", "category", "severity", "why", "how_to_fix"))
     w = F.lit(0.0)
     for s, x in WEIGHTS.items():
         w = F.when(F.col("severity") == s, x).otherwise(w)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import html as hx
 from ..functions import urls
 from ..operators import audit, catalog, links, scores, store, triage
+from ..operators.cuts import cut, spread
 from ..sources import responses, robots
-from .registry import query, table, views
+from .registry import query, spread_table, table, views
 
 CRAWL = responses.CRAWL_SQL.format(encoded="encode(html)")
 
@@ -32,19 +33,19 @@ _HREFS = r"list_distinct(list_filter(regexp_extract_all(html, '<a href=\"([^\"]*
 
 @query("page_titles", f"SELECT page_id, nullif({_plain(_TITLE)}, '') AS title FROM pages")
 def page_titles(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
+    p = spread_table(spark, sf_dir, "pages")
     return p.select("page_id", hx.parse_html("url", "html").alias("s")).select("page_id", "s.title")
 
 
 @query("page_parse", f"SELECT page_id, nullif({_plain(_TITLE)}, '') AS title, len(regexp_extract_all(html, '<h1>')) AS n_h1, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, CAST(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS BIGINT) AS word_count, round(least(1.0, CAST(octet_length(encode(t)) AS DOUBLE) / octet_length(encode(html))), 6) AS text_ratio FROM (SELECT *, {_VISIBLE} AS t FROM pages)")
 def page_parse(spark, sf_dir):
-    s = table(spark, sf_dir, "pages").select("page_id", hx.parse_html("url", "html").alias("s"))
+    s = spread_table(spark, sf_dir, "pages").select("page_id", hx.parse_html("url", "html").alias("s"))
     return s.select("page_id", "s.title", F.size("s.h1").cast("long").alias("n_h1"), "s.lang", F.col("s.word_count").cast("long").alias("word_count"), F.round("s.text_ratio", 6).alias("text_ratio"))
 
 
 @query("page_text", f"SELECT page_id, sha256({_VISIBLE}) AS text_sha256 FROM pages")
 def page_text(spark, sf_dir):
-    s = table(spark, sf_dir, "pages").select("page_id", hx.parse_html("url", "html").alias("s"))
+    s = spread_table(spark, sf_dir, "pages").select("page_id", hx.parse_html("url", "html").alias("s"))
     return s.select("page_id", F.sha2("s.text", 256).alias("text_sha256"))
 
 
@@ -59,9 +60,26 @@ def link_extract(spark, sf_dir):
 _HOST = r"regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
 
 
-@query("internal_external_split")
+#: Links as they are parsed: entities resolved, fragments cut, non-ASCII letters encoded, each once a page (all of them start at the root of their site).
+_ENCODED = "array_to_string(list_transform(string_split(regexp_replace(" + _plain("h") + ", '#.*$', ''), ''), lambda c: CASE WHEN unicode(c) > 127 THEN url_encode(c) ELSE c END), '')"
+PARSED_LINKS = rf"""
+SELECT page_id, url, link, row_number() OVER (PARTITION BY page_id ORDER BY min(i)) - 1 AS pos
+FROM (SELECT page_id, url, i, regexp_extract(url, '^[a-z]+://[^/?#]*') || {_ENCODED} AS link
+      FROM (SELECT page_id, url, unnest(hs) AS h, unnest(generate_series(1, len(hs))) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM pages))
+      WHERE h <> '' AND NOT starts_with(h, '#'))
+GROUP BY page_id, url, link
+"""
+
+
+@query("parsed_links", f"SELECT page_id, CAST(pos AS INT) AS pos, link, true AS internal FROM ({PARSED_LINKS})")
+def parsed_links(spark, sf_dir):
+    s = spread_table(spark, sf_dir, "pages").select("page_id", "url", hx.parse_html("url", "html").alias("s")).select("page_id", "url", "s.internal_links", "s.external_links")
+    return links.page_links(s).select("page_id", "pos", "link", "internal")
+
+
+@query("internal_external_split", f"SELECT p.page_id, CAST(count(link) AS INT) AS internal, CAST(0 AS INT) AS external FROM pages p LEFT JOIN ({PARSED_LINKS}) l ON l.page_id = p.page_id GROUP BY p.page_id")
 def internal_external_split(spark, sf_dir):
-    s = table(spark, sf_dir, "pages").select("page_id", hx.parse_html("url", "html").alias("s"))
+    s = spread_table(spark, sf_dir, "pages").select("page_id", hx.parse_html("url", "html").alias("s"))
     return s.select("page_id", F.size("s.internal_links").alias("internal"), F.size("s.external_links").alias("external"))
 
 
@@ -103,7 +121,7 @@ def robots_allowed(spark, sf_dir):
     return robots.allowed_paths(paths, robots.parse(text, "any/1.0")).select("page_id", "allowed")
 
 
-@query("sitemap_locs", "SELECT DISTINCT url AS loc FROM pages WHERE page_id < 1000000")
+@query("sitemap_locs", "SELECT DISTINCT url AS loc FROM pages")
 def sitemap_locs(spark, sf_dir):
     """Sitemap files made of the page urls, 100 each, and parsed again."""
     p = table(spark, sf_dir, "pages")
@@ -160,7 +178,7 @@ _SQL_RULES = [
     ("large-page", "page AND size_bytes > 2000000", "size_bytes // 1024 || ' KB'"), ("duplicate-content", "page AND duplicate_of IS NOT NULL", "duplicate_of"), ("low-text-ratio", "page AND text_ratio > 0 AND text_ratio < 0.08 AND word_count < 200", "CAST(round_even(text_ratio * 100, 0) AS INT) || '%'"),
     ("orphan", "page AND inlinks = 0 AND depth > 0", None), ("dead-end", "page AND indexable AND n_internal = 0", None), ("deep-page", "page AND depth > 4", "depth || ' clicks from home'"), ("no-compression", "page AND content_encoding IS NULL AND size_bytes > 4096", None),
     ("not-secure", "page AND starts_with(final_url, 'http://')", None), ("mixed-content", "page AND NOT starts_with(final_url, 'http://') AND mixed_content > 0", "mixed_content || ' resource(s)'"), ("no-hsts", "page AND NOT starts_with(final_url, 'http://') AND NOT hsts", None),
-    ("viewport-missing", "page AND NOT has_viewport", None), ("lang-missing", "page AND lang IS NULL", None), ("hreflang-incomplete", "page AND len(list_filter(hreflang_langs, lambda h: lower(h) = 'x-default' OR coalesce(starts_with(lower(h), lower(lang[:2])), false))) = 0", None),
+    ("viewport-missing", "page AND NOT has_viewport", None), ("lang-missing", "page AND lang IS NULL", None), ("hreflang-incomplete", "page AND len(hreflang_langs) > 0 AND len(list_filter(hreflang_langs, lambda h: lower(h) = 'x-default' OR coalesce(starts_with(lower(h), lower(lang[:2])), false))) = 0", None),
     ("a11y-link-no-text", "page AND links_no_text > 0", "links_no_text || ' of ' || links_total || ' links'"), ("a11y-button-no-text", "page AND buttons_no_text > 0", "buttons_no_text || ' button(s)'"), ("a11y-input-no-label", "page AND inputs_no_label > 0", "inputs_no_label || ' of ' || controls_total || ' controls'"),
     ("a11y-zoom-disabled", "page AND viewport_blocks_zoom", None), ("a11y-iframe-no-title", "page AND iframes_no_title > 0", "iframes_no_title || ' iframe(s)'"), ("a11y-positive-tabindex", "page AND positive_tabindex > 0", "positive_tabindex || ' element(s)'"), ("a11y-skipped-heading", "page AND skipped_heading", None),
     ("og-missing", "shown AND og_title IS NULL", None), ("twitter-missing", "shown AND twitter_card IS NULL", None), ("structured-data-missing", "shown AND n_schema_types = 0", None), ("structured-data-invalid", "shown AND invalid_jsonld > 0", "invalid_jsonld || ' block(s)'"),
@@ -190,10 +208,28 @@ def audit_issues(spark, sf_dir):
     return issues(spark, sf_dir)
 
 
-@query("audit_parsed")
+#: What parsing finds on the test pages, in SQL: they have no descriptions, images, forms, structured data or links to each other.
+_PARAGRAPHS = rf"list_transform(string_split(regexp_extract(html, '<body>(.*)$', 1, 's'), '<p>')[2:4], lambda s: len(list_filter(regexp_split_to_array(regexp_replace(regexp_extract(s, '^(.*?)(</p>|</article>|$)', 1, 's'), '<[^>]*>', '', 'g'), '\s+'), lambda w: w <> '')))"
+PARSED_FACTS = rf"""
+SELECT c.page_id, c.url, c.final_url, c.status, CAST(NULL AS VARCHAR) AS error, 0 AS hops, c.depth, c.response_time_ms, c.size_bytes, c.content_type, 1 AS h1_count, word_count,
+       title, CAST(NULL AS VARCHAR) AS meta_description, CAST(NULL AS VARCHAR) AS meta_robots, CAST(NULL AS VARCHAR) AS x_robots_tag, CAST(NULL AS VARCHAR) AS canonical, false AS canonicalized, 0 AS images_total, 0 AS images_missing_alt,
+       false AS rendered, word_count AS pre_render_word_count, CASE WHEN word_count >= 20 AND first_url <> c.url THEN first_url END AS duplicate_of, least(1.0, CAST(octet_length(encode(t)) AS DOUBLE) / octet_length(encode(c.html))) AS text_ratio,
+       (SELECT count(*) FROM ({PARSED_LINKS}) l WHERE l.link = regexp_replace(c.final_url, '#.*$', '')) AS inlinks, c.status = 200 AS indexable, coalesce(n_internal, 0) AS n_internal, c.content_encoding, 0 AS mixed_content, c.hsts,
+       false AS has_viewport, regexp_extract(c.html, '<html lang="([^"]*)"', 1) AS lang, CAST([] AS VARCHAR[]) AS hreflang_langs, 0 AS links_no_text, len(regexp_extract_all(c.html, '<a href=')) AS links_total, 0 AS buttons_no_text, 0 AS buttons_total,
+       0 AS inputs_no_label, 0 AS controls_total, false AS viewport_blocks_zoom, 0 AS iframes_no_title, 0 AS positive_tabindex, false AS skipped_heading, CAST(NULL AS VARCHAR) AS og_title, CAST(NULL AS VARCHAR) AS twitter_card, 0 AS n_schema_types, 0 AS invalid_jsonld,
+       false AS structured_data, true AS semantic_html, list_max({_PARAGRAPHS}) >= 25 AS answerable, false AS has_author, false AS has_date, false AS faq_schema, CASE WHEN ends_with(title, '?') THEN 1 ELSE 0 END AS question_headings, 1 AS structured_blocks
+FROM (SELECT *, CAST(CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS INT) AS word_count, first_value(url) OVER (PARTITION BY {{lower_t}} ORDER BY page_id) AS first_url
+      FROM (SELECT *, {_VISIBLE} AS t, nullif({_plain(_TITLE)}, '') AS title FROM ({CRAWL}))) c
+LEFT JOIN (SELECT page_id, count(*) AS n_internal FROM ({PARSED_LINKS}) GROUP BY page_id) n ON n.page_id = c.page_id
+""".replace("{lower_t}", "translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+_SITE = ", ".join(f"('{r}')" for r in ("no-sitemap", "geo-no-llms-txt"))
+
+
+@query("audit_parsed", f"WITH {ISSUES.replace(FACTS, PARSED_FACTS)} SELECT url, rule, title, category, severity, detail FROM issues UNION ALL SELECT 'https://example.com/', rule, title, category, severity, NULL FROM known WHERE rule IN ({_SITE})")
 def audit_parsed(spark, sf_dir):
-    """The whole way: parse the pages, derive cross-page facts, audit. Rows only, as parsing has no SQL twin."""
-    p = responses.build_pages(responses.crawl(spark, sf_dir))
+    """The whole way: parse the pages, derive cross-page facts, audit."""
+    # Parsed once and kept: inlinks, duplicates, links and rules each read it.
+    p = cut(responses.build_pages(spread(responses.crawl(spark, sf_dir))).drop("text", "headings"))
     each = links.page_links(p)
     p = links.with_inlinks(audit.first_of_content(p), each)
     return audit.audit(p, broken=links.broken_links(each, links.status_map(p)), site=audit.site_issues("https://example.com/", robots_found=True, sitemap_found=False, llms_txt_found=False))
@@ -250,7 +286,7 @@ def health_score(spark, sf_dir):
     return scores.health_score(facts(spark, sf_dir), issues(spark, sf_dir))
 
 
-@query("seo_page_scores", f"WITH {ISSUES}, p AS (SELECT url, sum(CASE WHEN category IN ('geo', 'accessibility') THEN 0 WHEN severity = 'error' THEN 15 WHEN severity = 'warning' THEN 7 WHEN severity = 'notice' THEN 2 ELSE 0 END) AS lost FROM issues GROUP BY url) SELECT f.url, CAST(greatest(0, 100 - coalesce(lost, 0)) AS INT) AS seo_score FROM f LEFT JOIN p ON p.url = f.url")
+@query("seo_page_scores", f"WITH {ISSUES}, p AS (SELECT url, sum(CASE WHEN category IN ('geo', 'accessibility') THEN 0 WHEN severity = 'error' THEN 15 WHEN severity = 'warning' THEN 7 WHEN severity = 'notice' THEN 2 ELSE 0 END) AS lost FROM issues GROUP BY url) SELECT f.url, CASE WHEN f.status = 200 THEN CAST(greatest(0, 100 - coalesce(k.lost, 0)) AS INT) ELSE 0 END AS seo_score FROM f LEFT JOIN (SELECT regexp_replace(url, '#.*$', '') AS key, sum(lost) AS lost FROM p GROUP BY ALL) k ON k.key = regexp_replace(f.url, '#.*$', '')")
 def seo_page_scores(spark, sf_dir):
     return scores.seo_scores(facts(spark, sf_dir), issues(spark, sf_dir))
 
@@ -275,7 +311,7 @@ def crawl_summary(spark, sf_dir):
     return scores.summary(facts(spark, sf_dir), issues(spark, sf_dir))
 
 
-@query("indexability", f"SELECT page_id, CASE WHEN contains(coalesce(meta_robots, ''), 'noindex') OR contains(lower(coalesce(x_robots_tag, '')), 'noindex') THEN 'Noindex' WHEN status = 0 THEN 'Connection Error' WHEN status BETWEEN 300 AND 399 THEN 'Redirected' WHEN status BETWEEN 400 AND 499 THEN 'Client Error' WHEN status >= 500 THEN 'Server Error' WHEN canonicalized THEN 'Canonicalised' END AS reason FROM ({FACTS})")
+@query("indexability", f"SELECT page_id, CASE WHEN contains(coalesce(meta_robots, ''), 'noindex') OR contains(lower(coalesce(x_robots_tag, '')), 'noindex') THEN 'Noindex' WHEN status = 0 THEN 'Connection Error' WHEN status BETWEEN 300 AND 399 THEN 'Redirect' WHEN status BETWEEN 400 AND 499 THEN 'Client Error' WHEN status >= 500 THEN 'Server Error' WHEN canonicalized THEN 'Canonicalised' END AS reason FROM ({FACTS})")
 def indexability(spark, sf_dir):
     return facts(spark, sf_dir).select("page_id", responses.indexability(F.col("status"), F.col("meta_robots"), F.col("x_robots_tag"), F.col("canonicalized")).alias("reason"))
 
@@ -321,7 +357,7 @@ def crawl_diff_pages(spark, sf_dir):
 
 
 _OLD, _NEW = "page_id % 10 <> 3 AND rule <> 'noindex'", "page_id % 10 <> 4"
-_SIDE = "SELECT '{0}' AS change, rule, count(*) AS n, list_slice(list(DISTINCT url ORDER BY url), 1, 5) AS samples FROM {1} a WHERE NOT EXISTS (SELECT 1 FROM {2} b WHERE a.url = b.url AND a.rule = b.rule) GROUP BY rule"
+_SIDE = "SELECT '{0}' AS change, rule, any_value(title) AS title, any_value(category) AS category, any_value(severity) AS severity, count(*) AS n, list_slice(list(DISTINCT url ORDER BY url), 1, 5) AS samples FROM {1} a WHERE NOT EXISTS (SELECT 1 FROM {2} b WHERE a.url = b.url AND a.rule = b.rule) GROUP BY rule"
 
 
 @query("crawl_diff_issues", f"WITH {ISSUES}, o AS (SELECT * FROM issues WHERE {_OLD}), n AS (SELECT * FROM issues WHERE {_NEW}) " + _SIDE.format("new", "n", "o") + " UNION ALL " + _SIDE.format("resolved", "o", "n"))
@@ -366,3 +402,72 @@ def adjacency(spark, sf_dir):
 def heading_jumps(spark, sf_dir):
     h = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("pos")).withColumn("level", F.col("page_id") * F.col("pos") % 5 + 1)
     return audit.heading_jumps(h)
+
+
+# ---- links as parsed, with urls in other forms than the normal one ----
+#: The same urls with upper-case hosts, default ports and fragments.
+_MESSY = r"regexp_extract(u, '^[a-z]+://') || upper(regexp_extract(u, '^[a-z]+://([^/?#]*)', 1)) || CASE WHEN starts_with(u, 'https') THEN ':443' ELSE ':80' END || regexp_extract(u, '^[a-z]+://[^/?#]*(.*)$', 1) || '#part'"
+_CODE = "CASE length(u) % 4 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN 403 ELSE 200 END"
+
+
+def _messy(u):
+    return F.concat(F.regexp_extract(u, "^[a-z]+://", 0), F.upper(F.regexp_extract(u, "^[a-z]+://([^/?#]*)", 1)), F.when(u.startswith("https"), ":443").otherwise(":80"), F.regexp_extract(u, "^[a-z]+://[^/?#]*(.*)$", 1), F.lit("#part"))
+
+
+def _parsed(spark, sf_dir):
+    return spread_table(spark, sf_dir, "pages").select("page_id", "url", hx.parse_html("url", "html").alias("s")).select("page_id", "url", "s.internal_links", "s.external_links")
+
+
+@query("parsed_inlinks", f"SELECT p.page_id, count(l.link) AS inlinks FROM pages p LEFT JOIN (SELECT page_id, arg_min(link, pos) AS first FROM ({PARSED_LINKS}) GROUP BY page_id) f ON f.page_id = p.page_id LEFT JOIN ({PARSED_LINKS}) l ON l.link = coalesce(f.first, regexp_replace(p.url, '#.*$', '')) GROUP BY p.page_id")
+def parsed_inlinks(spark, sf_dir):
+    """Inlinks of pages that redirect to their own first link, written in another form."""
+    p = _parsed(spark, sf_dir)
+    first = F.try_element_at("internal_links", F.lit(1))
+    pages = p.withColumn("final_url", F.coalesce(_messy(first), F.col("url")))
+    return links.with_inlinks(pages, links.page_links(p)).select("page_id", "inlinks")
+
+
+@query("parsed_broken_links", f"SELECT url, link, status FROM (SELECT url, link, {_CODE.replace('u)', 'link)')} AS status FROM ({PARSED_LINKS})) WHERE status IN (404, 503)")
+def parsed_broken_links(spark, sf_dir):
+    """Links against a table of verified statuses whose urls are written in another form."""
+    each = links.page_links(_parsed(spark, sf_dir))
+    verified = each.select(F.col("link").alias("u")).distinct().select(_messy(F.col("u")).alias("url"), F.expr(_CODE).alias("status"))
+    pages = views(spark, sf_dir, "pages").sql(KNOWN_PAGES)
+    return links.broken_links(each, links.status_map(pages, verified))
+
+
+@query(
+    "parsed_adjacency",
+    f"WITH l AS ({PARSED_LINKS}), f AS (SELECT p.page_id, coalesce(arg_min(link, pos), regexp_replace(any_value(p.url), '#.*$', '')) AS final_key, regexp_replace(any_value(p.url), '#.*$', '') AS url_key FROM pages p LEFT JOIN l ON l.page_id = p.page_id GROUP BY p.page_id), "
+    "x AS (SELECT key, min(page_id) AS id FROM (SELECT final_key AS key, page_id FROM f UNION ALL SELECT url_key, page_id FROM f) GROUP BY key) SELECT DISTINCT l.page_id AS src, x.id AS dst FROM l JOIN x ON x.key = l.link WHERE l.page_id <> x.id",
+)
+def parsed_adjacency(spark, sf_dir):
+    p = _parsed(spark, sf_dir)
+    pages = p.withColumn("final_url", F.coalesce(_messy(F.try_element_at("internal_links", F.lit(1))), F.col("url")))
+    return links.adjacency(links.page_links(p), links.page_index(pages))
+
+
+# ---- the rules that look beyond one page ----
+_BAD = "CASE page_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 404 WHEN 2 THEN 410 ELSE 500 END"
+
+
+@query(
+    "rules_beyond_a_page",
+    f"WITH {ISSUES} SELECT i.url, i.rule, k.title, k.category, k.severity, i.detail FROM (SELECT url, 'broken-link' AS rule, CASE WHEN page_id % 4 = 0 THEN 'ERR' ELSE CAST({_BAD} AS VARCHAR) END || ' → ' || url || '/x' AS detail FROM pages "
+    "UNION ALL SELECT url, 'blocked-by-robots', NULL FROM pages WHERE contains(url, '/de/') UNION ALL SELECT 'https://example.com/', rule, NULL FROM known WHERE rule IN ('no-robots-txt', 'no-sitemap', 'geo-no-llms-txt') "
+    "UNION ALL SELECT url, 'schema-missing-required', 'Offer: missing price, priceCurrency' FROM g WHERE shown AND n_schema_types = 1 "
+    "UNION ALL SELECT url, 'schema-missing-recommended', x || ': missing ' || y FROM (SELECT url, unnest(['Offer', 'Product']) AS x, unnest(['url', 'brand, sku']) AS y, n_schema_types FROM g WHERE shown) WHERE n_schema_types = 1 OR (n_schema_types = 2 AND x = 'Product')) i JOIN known k ON k.rule = i.rule",
+)
+def rules_beyond_a_page(spark, sf_dir):
+    """Broken and blocked links, what the site lacks, and schema items that lack fields."""
+    f = facts(spark, sf_dir)
+    item = lambda name, required, recommended: F.struct(F.lit(name).alias("type_name"), F.lit(required).cast("array<string>").alias("missing_required"), F.lit(recommended).cast("array<string>").alias("missing_recommended"))
+    offer, product = item("Offer", ["price", "priceCurrency"], ["url"]), item("Product", [], ["brand", "sku"])
+    f = f.withColumn("schema_validations", F.when(F.col("n_schema_types") == 1, F.array(offer, product)).when(F.col("n_schema_types") == 2, F.array(product)).otherwise(F.array().cast(audit.DEFAULTS["schema_validations"])))
+    p = table(spark, sf_dir, "pages")
+    status = F.element_at(F.array(*(F.lit(x) for x in (0, 404, 410, 500))), (F.col("page_id") % 4 + 1).cast("int"))
+    robots_txt = robots.parse("User-agent: *\nCrawl-delay: 2\nDisallow: /x\nUser-agent: other\nUser-agent: audit\nDisallow: /de/\n", "audit/2.0")
+    blocked = robots.allowed_paths(p.select("url", urls.robots_path(F.col("url")).alias("path")), robots_txt).where("NOT allowed").select("url")
+    site = audit.site_issues("https://example.com/", robots_found=False, sitemap_found=False, llms_txt_found=False)
+    out = audit.audit(f, broken=p.select("url", F.concat("url", F.lit("/x")).alias("link"), status.alias("status")), blocked=blocked, site=site)
+    return out.where(F.col("rule").isin("broken-link", "blocked-by-robots", "no-robots-txt", "no-sitemap", "geo-no-llms-txt", "schema-missing-required", "schema-missing-recommended"))

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.cuts import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -28,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that takes long for each row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def views(spark: SparkSession, sf_dir: str, *names: str) -> SparkSession:
     for n in names:
         table(spark, sf_dir, n).createOrReplaceTempView(n)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..packs.language import built_in, hits, parse_pack, score_texts
-from .registry import query, table
+from .registry import query, spread_table
 
 ASC = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"list_filter(list_transform(regexp_split_to_array({}, '\s+'), lambda w: regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda w: w <> '')"
@@ -20,7 +20,7 @@ def _ratio(test: str) -> str:
 
 def _metric(name: str, *args: int):
     def run(spark, sf_dir):
-        return table(spark, sf_dir, "documents").select("doc_id", F.round(tx.METRICS[name](F.col("text"), *args), 6).alias("value"))
+        return spread_table(spark, sf_dir, "documents").select("doc_id", F.round(tx.METRICS[name](F.col("text"), *args), 6).alias("value"))
 
     return run
 
@@ -54,7 +54,7 @@ query("text_word_count", f"SELECT doc_id, CAST(len({_W}) AS DOUBLE) AS value FRO
 
 @query("sentence_counts", "SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+'), lambda s: trim(s, ' ' || chr(10) || chr(9) || chr(13))), lambda s: s <> '')) AS n FROM documents")
 def sentence_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).cast("long").alias("n"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).cast("long").alias("n"))
 
 
 _PHRASES = ("of the", "the the", "de la", "in conclusion", "license")
@@ -64,7 +64,7 @@ _COUNTS = " + ".join(f"(length(t) - length(replace(t, '{p}', ''))) // {len(p)}"
 @query("slop_phrases", f"SELECT doc_id, CAST({_COUNTS} AS BIGINT) AS n, CAST(least({_COUNTS}, 3) * 2.0 AS DOUBLE) AS points FROM (SELECT doc_id, {ASC.format('text')} AS t FROM documents)")
 def slop_phrases(spark, sf_dir):
     n = sum((tx.phrase_count(F.col("text"), p) for p in _PHRASES), F.lit(0))
-    return table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("n"), (F.least(n, F.lit(3)) * 2.0).alias("points"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("n"), (F.least(n, F.lit(3)) * 2.0).alias("points"))
 
 
 _REGEX = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+, [\p{L}\p{M}\p{Nd}\p{Pc}]+,? and [\p{L}\p{M}\p{Nd}\p{Pc}]+"
@@ -72,7 +72,7 @@ _REGEX = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+, [\p{L}\p{M}\p{Nd}\p{Pc}]+,? and [\p{L}\p{M
 
 @query("slop_regex", f"SELECT conv_id, turn, len(regexp_extract_all(text, '(?i){_REGEX}')) AS n FROM conversations")
 def slop_regex(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.regex_count(F.col("text"), r"\w+, \w+,? and \w+").cast("long").alias("n"))
+    return spread_table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.regex_count(F.col("text"), r"\w+, \w+,? and \w+").cast("long").alias("n"))
 
 
 TEST_PACK = """
@@ -96,12 +96,12 @@ h AS (
 
 @query("slop_hits", _LEDGER + "SELECT doc_id, rule, points FROM h")
 def slop_hits(spark, sf_dir):
-    return hits(score_texts(table(spark, sf_dir, "documents"), parse_pack(TEST_PACK)), "doc_id").select("doc_id", "rule", "points")
+    return hits(score_texts(spread_table(spark, sf_dir, "documents"), parse_pack(TEST_PACK)), "doc_id").select("doc_id", "rule", "points")
 
 
 @query("slop_ledger", _LEDGER + "SELECT d.doc_id, CAST(coalesce(sum(points), 0) AS DOUBLE) AS score, count(h.rule) AS n_hits FROM documents d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id")
 def slop_ledger(spark, sf_dir):
-    scored = score_texts(table(spark, sf_dir, "documents"), parse_pack(TEST_PACK))
+    scored = score_texts(spread_table(spark, sf_dir, "documents"), parse_pack(TEST_PACK))
     return scored.select("doc_id", "ledger.score", F.size("ledger.hits").cast("long").alias("n_hits"))
 
 
@@ -113,11 +113,11 @@ def slop_topk(spark, sf_dir):
 
 @query("slop_summary", _LEDGER + "SELECT round(avg(s), 6) AS mean, max(s) AS worst FROM (SELECT d.doc_id, coalesce(sum(points), 0) AS s FROM documents d LEFT JOIN h USING (doc_id) WHERE text <> '' GROUP BY d.doc_id)")
 def slop_summary(spark, sf_dir):
-    scored = score_texts(table(spark, sf_dir, "documents").where("text <> ''"), parse_pack(TEST_PACK))
+    scored = score_texts(spread_table(spark, sf_dir, "documents").where("text <> ''"), parse_pack(TEST_PACK))
     return scored.agg(F.round(F.avg("ledger.score"), 6).alias("mean"), F.max("ledger.score").alias("worst"))
 
 
 @query("slop_default")
 def slop_default(spark, sf_dir):
     """The built-in pack over conversation turns; evidence included, tested against a plain restatement."""
-    return hits(score_texts(table(spark, sf_dir, "conversations"), built_in()), "conv_id", "turn")
+    return hits(score_texts(spread_table(spark, sf_dir, "conversations"), built_in()), "conv_id", "turn")
