@@ -5,17 +5,25 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame as a checkpoint in spark.checkpoint.dir; where none is named, in a folder of this machine if all runs on it, else an error."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where none is named, a folder of this machine if all runs on it, else an error."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError(f"spark.checkpoint.dir has to name a folder that the driver and the executors of {context.master} share")
-        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='shared-')}")
+        named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame as a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -295,3 +295,21 @@ def add_pack(source: str, name: str, folder: str) -> Path:
 
 def remove_pack(name: str, folder: str) -> None:
     (Path(folder) / f"{name}{SUFFIX}").unlink()
+
+
+def new_pack(name: str, folder: str) -> Path:
+    """A pack to start from: one rule of each kind."""
+    start = 'phrase_rule("phrases", weight = 1, phrases = ["in conclusion"])\nregex_rule("pattern", weight = 1, pattern = "very \\\\w+")\nmetric_rule("metric", weight = 1, metric = sentence_variance(), when = below(12))\n'
+    return add_pack(start, name, folder)
+
+
+def which_pack(reference: str, repo: str | None = None, home: str | None = None) -> str:
+    """Where a reference leads: a path, or the name of a layer."""
+    if Path(reference).is_file():
+        return reference
+    return dict(list_packs(repo, home))[reference]
+
+
+def init_packs(folder: str) -> Path:
+    """A folder for packs, with the built-in one to copy from."""
+    return add_pack(BUILT_IN, "slop-default", folder)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators import audit
+from ..operators.cuts import shared_folder
 from ..packs.language import Pack
 
 
@@ -45,14 +48,31 @@ def windowed_counts(events: DataFrame, time: str, key: str, window: str = "1 hou
     return events.withWatermark(time, delay).groupBy(F.window(time, window), key).agg(F.count("*").alias("n"))
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs what is there into a table in memory and returns it."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query: StreamingQuery = writer.start()
+def run_to_end(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None, folder: str | None = None) -> DataFrame:
+    """Runs what is there and returns it, as rows of Parquet files; nothing passes through the driver.
+
+    Files and progress go to a folder of their own in spark.checkpoint.dir, or to `folder`. In complete mode each batch
+    replaces the result of the one before.
+    """
+    folder = f"{folder or shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{folder}/progress").queryName(name)
+    rows, spark, schema = f"{folder}/rows", stream.sparkSession, stream.schema
+    if mode == "append":
+        query: StreamingQuery = writer.format("parquet").option("path", rows).start()
+    else:
+        query = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(rows)).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(schema).parquet(rows)
+
+
+def stop_after(query: StreamingQuery, pages: int) -> int:
+    """Ends a running query once it has taken so many rows; what it has written stays. Returns the rows taken."""
+    while query.isActive:
+        done = sum(p.numInputRows for p in query.recentProgress)
+        if done >= pages:
+            query.stop()
+        query.awaitTermination(0.2) if query.isActive else None
+    return sum(p.numInputRows for p in query.recentProgress)
 
 
 class Progress(StreamingQueryListener):

@@ -180,3 +180,130 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, audit.page_issues(f).collect()))
     run = cs.run_to_end(cs.running_summary(cs.read_stream(spark, f"{tmp_path}/p", f.schema)), "summary_seen", "complete")
     assert sum(r["pages"] for r in run.collect()) == f.count()
+
+
+def test_signals_by_the_letter():
+    s = hx.signals("https://a.com/p", """<meta name=author content=x><meta name=author content=""><meta name=viewport content="user-scalable=no"><meta name=viewport content="width=1">
+<link rel=alternate hreflang=de href="/de#f"><link rel=canonical href="/c"><link rel=canonical href="javascript:x"><input type=submit><input type=BUTTON value=go><input type=reset aria-label=r>
+<iframe aria-label=x></iframe><iframe aria-labelledby=y></iframe><iframe></iframe><img src="  http://b/x.png"><script src="" href="http://b/"></script><button><img alt=ok></button>""")
+    assert not s["has_author"] and not s["viewport_blocks_zoom"] and s["hreflang"] == [{"lang": "de", "href": "https://a.com/de#f"}] and s["canonical"] == "https://a.com/c"
+    assert (s["buttons_total"], s["buttons_no_text"], s["controls_total"], s["iframes_no_title"], s["mixed_content"]) == (4, 1, 0, 1, 1)
+
+
+@pytest.mark.parametrize("html", ["<button>" * 40_000, "<a href=x>" * 40_000, "<h1>" * 40_000, "<a href=x><b>" * 20_000])
+def test_nesting_takes_linear_time(html):
+    import time
+
+    began = time.perf_counter()
+    hx.signals("https://a/", html)
+    assert time.perf_counter() - began < 10
+
+
+def test_robots_groups():
+    assert not robots.fits("/a*$", "/ab") and robots.fits("/a*$", "/a") and robots.fits("/a$$", "/a") and not robots.fits("", "/a")
+    assert robots.parse("User-agent: bot\nAllow:\nUser-agent: *\nDisallow: /", "bot").allowed("/x")
+    text = "User-agent: a\nCrawl-delay: 5\nUser-agent: b\nDisallow: /x\n"
+    assert robots.parse(text, "a").allowed("/x") and not robots.parse(text, "b").allowed("/x")
+    # Lengths count in bytes.
+    assert not robots.Robots(((True, "/abc"), (False, "/é*c"), (False, "/a*b*c"))).allowed("/abc") and robots.Robots(((False, "/*éé"), (True, "/*ééx"), (False, "/éé*"))).allowed("/ééx")
+
+
+def test_pagerank_of_odd_graphs(spark):
+    big = 2**53
+    nodes = spark.createDataFrame([("x", big + i) for i in range(4)] + [("y", 1), ("y", 2), ("z", 7)], "crawl string, id long")
+    edges = spark.createDataFrame([("x", big, big + 1), ("x", big + 1, big + 3), ("x", big + 2, big + 3), ("x", big + 1, 5), ("x", 6, big), ("y", 1, 2), ("y", 1, 2), ("y", 2, 2), ("z", 7, 8)], "crawl string, src long, dst long")
+    want = {("x", big): 0.0, ("y", 2): 100.0, ("z", 7): 100.0, ("x", big + 3): 100.0}
+    ways = [{(r["crawl"], r["id"]): r["link_score"] for r in links.pagerank(nodes, edges, crawl="crawl", task_edges=n).collect()} for n in (100, 0)]
+    assert ways[0].keys() == ways[1].keys() == {tuple(r) for r in nodes.collect()} and all(abs(ways[0][k] - ways[1][k]) < 1e-9 for k in ways[0])
+    assert all(ways[0][k] == v for k, v in want.items() if v) and ways[0]["x", big] == pytest.approx(ways[0]["x", big + 2]) and ways[0]["x", big + 1] > ways[0]["x", big]
+    for n in (100, 0):
+        assert links.pagerank(nodes.limit(0), edges, crawl="crawl", task_edges=n).count() == 0
+
+
+def test_statuses_and_error_rows(spark):
+    made = [(1, "HTTPS://A.com:443/x#f", "https://a.com/x", 200, 0, "text/html", '<a href="/y">y</a><a href="HTTPS://B.com/dead#z">d</a>'), (2, "https://a.com/y", "https://a.com/y", 200, 1, "image/png", "<p>no page")]
+    r = spark.createDataFrame(made, "page_id long, url string, final_url string, status int, depth int, content_type string, html string").withColumns({"response_time_ms": F.lit(1).cast("long"), "size_bytes": F.lit(1).cast("long"), "hsts": F.lit(False), "hops": F.lit(0)})
+    failed = responses.failed_responses(spark.createDataFrame([(3, "https://a.com/z", 1, "timed out")], "page_id long, url string, depth int, error string"))
+    p = responses.build_pages(r.unionByName(failed, allowMissingColumns=True))
+    got = {x["page_id"]: x for x in p.collect()}
+    assert got[1]["indexable"] and not got[2]["indexable"] and got[2]["word_count"] == 0 and got[2]["indexability"] is None and (got[3]["indexability"], got[3]["error"]) == ("Connection Error", "timed out")
+    verified = spark.createDataFrame([("https://B.com:443/dead", 404), ("https://a.com/y", 500)], "url string, status int")
+    each = links.page_links(p)
+    assert [(x["link"], x["status"]) for x in links.broken_links(each, links.status_map(p, verified)).collect()] == [("https://b.com/dead", 404)]
+    assert {x["page_id"]: x["inlinks"] for x in links.with_inlinks(p, each).collect()} == {1: 0, 2: 1, 3: 0}
+    assert [tuple(x) for x in links.adjacency(each, links.page_index(p)).collect()] == [(1, 2)]
+    reasons = spark.createDataFrame([(0,), (204,), (302,), (404,), (503,)], "status int")
+    assert [x[0] for x in reasons.select(responses.indexability(F.col("status"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False))).collect()] == ["Connection Error", None, "Redirect", "Client Error", "Server Error"]
+
+
+def test_results(spark, tmp_path):
+    import json
+
+    from siteaudit.operators import result
+    from siteaudit.plans.crawl_queries import facts
+    from siteaudit.sources import scope
+
+    f = facts(spark, "/root/testdata/sf0.001").withColumns({"internal_links": F.array("url"), "external_links": F.array().cast("array<string>")})
+    issues = audit.page_issues(f)
+    stale = f.withColumns({"geo_score": F.lit(1), "a11y_score": F.lit(1)})
+    pages, site = result.recompute(stale, issues)
+    again, site2 = result.recompute(pages, issues)
+    assert site.first() == site2.first() and sorted(map(str, pages.collect())) == sorted(map(str, again.select(*pages.columns).collect()))
+    assert {r["page_id"]: r["geo_score"] for r in pages.collect()} == {r["page_id"]: r["geo_score"] for r in f.collect()} and pages.where("status <> 200 AND seo_score <> 0").isEmpty()
+    assert result.fails_score(site, 101) and not result.fails_score(site, 0)
+    doc = json.loads("".join(result.result_json({"url": "x"}, pages.select("url"), issues, {"pages": 50}, {"robotsFound": True}, "error")))
+    assert list(doc) == ["config", "pages", "issues", "summary", "robotsFound", "sitemapUrls", "sitemapFound", "startedAt"] and len(doc["pages"]) == 50 and {i["severity"] for i in doc["issues"]} == {"error"}
+    text = result.text_report("x", site.first().asDict(), scores.summary(f, issues).first().asDict(), issues, statuses=scores.histogram(f, "status"), graph={"orphans": 1, "dead_ends": 2, "reciprocal_pairs": 3, "max_depth": 4}, authorities=[{"link_score": 100.0, "url": "u"}])
+    assert all(x in text for x in ("Top fixes", "Status codes", "Link graph", "Top authority", "Issues"))
+    assert set(result.crawl_payload(f, issues, site)) == {"scores", "summary", "topFixes", "geoGaps", "issuesByRule", "byStatus", "byDepth", "linkGraph"}
+    assert sum(len(r["issues"]) for r in result.page_with_issues(f.select("url").distinct(), issues).collect()) == issues.count()
+    assert result.search_pages(f, "EXAMPLE", status=404).where("status <> 404").isEmpty() and result.sort_pages(f, "depth", True).first()["depth"] == 5
+    totals = result.delta_totals(store.issue_changes(issues.limit(0), issues)).first()
+    assert (totals["change"], totals["issues"]) == ("new", issues.count()) and {"why", "category"} <= set(triage.top_fixes(issues).columns)
+    old = f.select("url", F.lit("h").alias("content_hash"))
+    assert result.rescore_changed(old, old.limit(3).withColumn("content_hash", F.lit("i"))).count() == 3 and result.rescore_changed(old, old).isEmpty()
+    assert (result.status_class(0), result.status_class(302), result.status_label(0), result.milliseconds(1500), result.milliseconds(12_000), result.size(2_000_000), result.size(1536), result.short_url("https://a.com/?q"), result.short_url("https://a.com")) == ("status-0", "status-3xx", "ERR", "1.5s", "12s", "1.9 MB", "2 KB", "/?q", "a.com")
+    assert result.csv_field('a"b') == '"a""b"' and result.truncate("abc", 2) == "ab…" and result.wrap("a " * 50).count("\n") == 1
+    s = scope.plan("site", "http://A.com/#x")
+    assert (s.seeds, s.host, s.max_depth) == (("http://a.com/",), "a.com", 16) and scope.rebase(s, "https://www.a.com/").redirected_from == "http://a.com/" and scope.rebase(s, "https://a.com/") == s
+    assert scope.plan("list", listed=["https://a/1", "https://a/2", "https://a/1#x"]).seeds == ("https://a/1", "https://a/2") and scope.plan("page", "https://a/").max_depth == 0
+    with pytest.raises(ValueError):
+        scope.plan("site", "ftp://x")
+    chain = spark.createDataFrame([(i, f"https://a/{i}", f"https://a/{i}", [f"https://a/{i + 1}", f"https://a/{i + 2}"], []) for i in range(9)], "page_id long, url string, final_url string, internal_links array<string>, external_links array<string>")
+    assert sorted(tuple(r) for r in scope.frontier(chain, scope.plan("site", "https://a/0"), 4).collect()) == [(0, 0), (1, 1), (2, 1), (3, 2)]
+    assert scope.frontier(chain, scope.plan("page", "https://a/0")).count() == 1
+
+
+def test_store_is_whole_or_absent(spark, tmp_path):
+    st = store.CrawlStore(spark, f"file://{tmp_path}")
+    pages = spark.createDataFrame([(0, "https://a/"), (1, "https://a/b")], "page_id long, url string")
+    issues = spark.createDataFrame([("https://a/", "r")], "url string, rule string")
+    meta = lambda at: spark.createDataFrame([(at,)], "created_at long")
+    edges = spark.createDataFrame([(0, 1)], "src long, dst long")
+    st.save("one", pages, issues, meta(1), edges)
+    st.save("two", pages, issues, meta(2), edges)
+    with pytest.raises(Exception):  # breaks off while issues are written
+        st.save("two", pages.limit(1), issues.select(F.raise_error(F.lit("no")).alias("url")), meta(3))
+    assert [r["crawl_id"] for r in st.crawls().collect()] == ["one"] and st.load("pages").count() == 2 and st.load("edges", "one").count() == 1
+    st.update_pages("one", spark.createDataFrame([(1, 7)], "page_id long, inlinks long"))
+    assert {r["page_id"]: r["inlinks"] for r in st.load("pages", "one").collect()} == {0: None, 1: 7} and st.next_id("one") == 2 and st.latest() == "one"
+
+
+def test_stopping_early(spark, tmp_path):
+    import pathlib
+
+    for i in range(4):
+        spark.range(10).write.parquet(f"{tmp_path}/in{i}")
+    (tmp_path / "all").mkdir()
+    for i in range(4):
+        for j, f in enumerate(pathlib.Path(f"{tmp_path}/in{i}").glob("*.parquet")):
+            f.rename(f"{tmp_path}/all/{i}-{j}.parquet")
+    stream = cs.read_stream(spark, f"{tmp_path}/all", "id long")
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(processingTime="0 seconds").start()
+    assert cs.stop_after(query, 10) >= 10 and spark.read.parquet(f"{tmp_path}/out").count() >= 5
+
+
+def test_pack_folders(tmp_path):
+    pk.new_pack("mine", str(tmp_path))
+    assert len(pk.resolve_pack("mine", home=str(tmp_path)).rules) == 3 and pk.which_pack("mine", home=str(tmp_path)) == "global" and pk.which_pack("slop-default") == "built-in"
+    assert len(pk.parse_pack(pk.init_packs(str(tmp_path)).read_text()).rules) == 10
