@@ -14,14 +14,20 @@ belief propagation on the sum-product rule sweeps until messages change by less
 `STILL`; a candidate whose marginal for a kind is at least `KEEP` becomes a span of
 the kind, unless it overlaps a base span. Base spans stay as they are.
 
-Emission weights are fitted by logistic regression on shape features of candidates
-with the base kinds as labels, from a bounded sample of documents (about `SAMPLE`,
-by hash, `SAMPLE_CHARS` characters each); chain and skip weights are log odds of equal labels in the same sample,
-bounded by `EDGE`. Candidates of documents are found in whole texts; a document
-without a digit or `@` has none, which is exact.
-
-Nulls and empty texts have no spans. Repeated rows get the same result. A giant
-text takes memory in proportion to itself. Extra columns pass through untouched.
+Emission, chain and skip weights are fitted together by pseudo-likelihood on a bounded
+sample of documents (about `SAMPLE`, by hash, each whole): every candidate's label given
+its shape and its neighbours' labels, which are the base kinds. Base kinds follow from
+shapes alone, so every candidate is seen twice, once without its shape: there the edges
+have to tell. A candidate in no base span whose key is that of one isn't an example of
+a label but a question, and is left out. Tasks send counts of equal examples, not texts.
+
+Candidates of documents are found in whole texts; a document without a digit or `@` has
+none, which is exact. All steps take time in proportion to the text, also for runs of a
+million characters without white space.
+
+Nulls and empty texts have no spans. An empty table gives an empty result. Repeated rows
+get the same result, ties between kinds the first of `KINDS`. A giant text takes memory
+in proportion to itself. Extra columns pass through untouched, also one named spans.
 """
 
 from __future__ import annotations
@@ -41,19 +47,22 @@ from . import textblocks as tb
 from .shared import about, free_name, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents of the training sample, and the characters of each one's lines with candidates that it uses.
-SAMPLE, SAMPLE_CHARS = 4_000, 20_000
-NEAR, KEEP, EDGE = 40, 0.8, 3.0
+#: Documents of the training sample, about.
+SAMPLE = 4_000
+NEAR, KEEP = 40, 0.8
+#: Variance of the normal prior on emission weights, and on the two edge weights.
+PRIOR, EDGE_PRIOR = 10.0, 10.0
 #: Sweeps end at the first that changes no message by more; after CALM sweeps messages are damped, which stops swings.
 STILL, CALM, ROUNDS = 1e-9, 100, 10_000
 
 # The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match starts with a whole run of digits and takes whole runs, so nothing is looked at twice.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_CANDIDATE = re.compile(r"[^\s]*[0-9@][^\s]*")
+_TOKEN, _MARK = re.compile(r"\S+"), re.compile("[0-9@]")
 _DIGITS = re.compile(r"[^0-9]")
 Span = tuple[str, int, int]
 
@@ -74,7 +83,7 @@ def base_spans(text: str) -> list[Span]:
     if "@" in text:
         out += [(m.start(), 0, m.end()) for m in _emails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         d = _DIGITS.sub("", m.group())
@@ -108,8 +117,10 @@ def _emails(text: str) -> Iterator[re.Match]:
 def candidates(text: str) -> list[tuple[int, int]]:
     """Runs without white space that hold a digit or `@`, without edge punctuation."""
     out = []
-    for m in _CANDIDATE.finditer(text):
+    for m in _TOKEN.finditer(text):
         s, e = m.span()
+        if not _MARK.search(text, s, e):
+            continue
         while s < e and not (text[s].isalnum() or text[s] == "+"):
             s += 1
         while e > s and not text[e - 1].isalnum():
@@ -118,14 +129,21 @@ def candidates(text: str) -> list[tuple[int, int]]:
             out.append((s, e))
     # A phone number or card may be written in groups: join digit groups that are one space apart.
     joined: list[tuple[int, int]] = []
+    digits = 0
     for s, e in out:
-        if joined and s - joined[-1][1] <= 3 and not re.search(r"[^0-9+() .-]", text[joined[-1][0] : e]) and len(_DIGITS.sub("", text[joined[-1][0] : e])) <= 19:
-            joined[-1] = joined[-1][0], e
+        size = len(_DIGITS.sub("", text[s:e])) if _GROUPS.fullmatch(text, s, e) else 99
+        if joined and s - joined[-1][1] <= 3 and size + digits <= 19 and _GROUPS.fullmatch(text, joined[-1][1], s):
+            joined[-1], digits = (joined[-1][0], e), digits + size
         else:
             joined.append((s, e))
+            digits = size
     return joined
 
 
+#: What a number written in groups is made of.
+_GROUPS = re.compile(r"[0-9+() .-]*+")
+
+
 def key_of(token: str) -> str:
     """What repeated or similar tokens share; empty: nothing."""
     if "@" in token:
@@ -144,7 +162,7 @@ def shape(token: str) -> np.ndarray:
     n = len(d)
     letters = sum(c.isalpha() for c in token)
     parts = token.split(".")
-    quad = len(parts) == 4 and all(p.isdigit() and p.isascii() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    quad = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     host = token.rpartition("@")[2] if "@" in token else ""
     return np.array(
         [
@@ -165,15 +183,17 @@ class Field:
     skip: float
 
 
-def _kind_at(spans: list[Span], s: int, e: int) -> tuple[int, bool]:
-    """Kind of a base span that holds [s, e) (0: none), and whether one overlaps it."""
-    touched = False
-    for kind, a, b in spans:
-        if a < e and s < b:
-            touched = True
-            if a <= s + 1 and e <= b + 1:
-                return KINDS.index(kind) + 1, True
-    return 0, touched
+def kinds_of(spans: list[Span], nodes: list[tuple[int, int]]) -> list[tuple[int, bool]]:
+    """Of each node, in order, the kind of the first base span that holds it (0: none), and whether one overlaps it."""
+    out, active, at = [], [], 0
+    for s, e in nodes:
+        while at < len(spans) and spans[at][1] < e:
+            active.append(spans[at])
+            at += 1
+        active = [x for x in active if x[2] > s]
+        holds = next((KINDS.index(k) + 1 for k, a, b in active if a <= s + 1 and e <= b + 1), 0)
+        out.append((holds, bool(active)))
+    return out
 
 
 def edges_of(nodes: list[tuple[int, int]], keys: list[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -257,7 +277,7 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans, and base spans with those that the field adds."""
     base = base_spans(text)
     nodes = candidates(text)
-    known = [_kind_at(base, s, e) for s, e in nodes]
+    known = kinds_of(base, nodes)
     free = [i for i, (k, touched) in enumerate(known) if not k and not touched]
     if not free:
         return base, base
@@ -278,31 +298,66 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     return base, sorted([*base, *more], key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def fit(texts: Iterator[str]) -> Field:
-    """A field from texts, with the base spans as labels of their candidates."""
-    xs, ys, same = [], [], {"chain": [1.0, 1.0], "skip": [1.0, 1.0]}
-    for text in texts:
-        base, nodes = base_spans(text), candidates(text)
-        kinds = [_kind_at(base, s, e)[0] for s, e in nodes]
-        tokens = [text[s:e] for s, e in nodes]
-        xs += [shape(t) for t in tokens]
-        ys += kinds
-        for name, pairs in zip(("chain", "skip"), edges_of(nodes, [key_of(t) for t in tokens])):
-            for a, b in pairs:
-                same[name][kinds[a] == kinds[b]] += 1
+#: An example of the fit: shape as bits (-1: not shown), label, and neighbours by label along chain and skip edges.
+_EXAMPLE = ["shape", "y", *(f"chain{i}" for i in range(len(KINDS) + 1)), *(f"skip{i}" for i in range(len(KINDS) + 1))]
+_BITS = 1 << np.arange(N_FEATURES)
+
+
+def examples(text: str) -> list[tuple[int, ...]]:
+    """The examples that a text gives, each candidate with and without its shape."""
+    base, nodes = base_spans(text), candidates(text)
+    kinds = [k for k, _ in kinds_of(base, nodes)]
+    tokens = [text[s:e] for s, e in nodes]
+    keys = [key_of(t) for t in tokens]
+    known: dict[str, np.ndarray] = {}
+    for key, y in zip(keys, kinds):
+        if key:
+            known.setdefault(key, np.zeros(len(KINDS) + 1, np.int64))[y] += 1
+    open_ = [not y and bool(key) and known[key][1:].any() for key, y in zip(keys, kinds)]
+    near = np.zeros((len(nodes), len(KINDS) + 1), np.int64)
+    for a, b in edges_of(nodes, keys)[0]:
+        if not open_[a] and not open_[b]:
+            near[a, kinds[b]] += 1
+            near[b, kinds[a]] += 1
+    out = []
+    for i, (key, y) in enumerate(zip(keys, kinds)):
+        if open_[i]:
+            continue
+        same = known[key].copy() if key else np.zeros(len(KINDS) + 1, np.int64)
+        same[y] -= bool(key)
+        same[0] = 0 if same[1:].any() else same[0]  # those are questions, too
+        rest = [y, *near[i].tolist(), *same.tolist()]
+        out += [(int(shape(tokens[i]).astype(np.int64) @ _BITS), *rest), (-1, *rest)]
+    return out
+
+
+def fit(rows: np.ndarray, times: np.ndarray) -> Field:
+    """A field from distinct examples and how often each occurs, by pseudo-likelihood."""
     k = len(KINDS) + 1
-    w = np.zeros((k, N_FEATURES))
+    w, edges = np.zeros((k, N_FEATURES)), np.zeros(2)
     w[0, 0] = 2.0
-    if xs:
-        x, y = np.stack(xs), np.eye(k)[np.array(ys)]
-        for r in range(400):
-            z = x @ w.T
+    if len(rows):
+        bits, y = rows[:, 0], np.eye(k)[rows[:, 1]]
+        x = np.where(bits[:, None] < 0, np.arange(N_FEATURES) == 0, (np.maximum(bits, 0)[:, None] & _BITS) > 0).astype(float)
+        beside = np.stack([rows[:, 2 : 2 + k], rows[:, 2 + k : 2 + 2 * k]]).astype(float)  # chain, skip
+        c = times.astype(float)[:, None]
+        n, flat_mean, flat_square = c.sum(), 0.0, 0.0
+        for r in range(1, 601):
+            z = x @ w.T + edges[0] * beside[0] + edges[1] * beside[1]
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            w += 1.0 * ((y - p).T @ x / len(x) - 1e-4 * w)
-    odds = {n: float(np.clip(np.log(b / a), 0.0, EDGE)) for n, (a, b) in same.items()}
-    # Neighbours that only happen to be near say little; equal tokens say more.
-    return Field(w, min(odds["chain"], 0.5), max(odds["skip"], 1.0))
+            off = c * (y - p)
+            g = np.concatenate([(off.T @ x - w / PRIOR).ravel(), (off[None] * beside).sum((1, 2)) - edges / EDGE_PRIOR]) / n * 100
+            flat_mean, flat_square = 0.9 * flat_mean + 0.1 * g, 0.99 * flat_square + 0.01 * g * g
+            step = 0.1 * (flat_mean / (1 - 0.9**r)) / (np.sqrt(flat_square / (1 - 0.99**r)) + 1e-8)
+            w, edges = w + step[:-2].reshape(w.shape), edges + step[-2:]
+    # Equal labels along an edge can't count against each other: the messages and hubs need weights of 0 at least.
+    return Field(w, max(0.0, float(edges[0])), max(0.0, float(edges[1])))
+
+
+def fit_texts(texts: list[str]) -> Field:
+    rows, times = np.unique(np.array([e for t in texts for e in examples(t)], np.int64).reshape(-1, len(_EXAMPLE)), axis=0, return_counts=True)
+    return fit(rows, times)
 
 
 _KIND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
@@ -312,12 +367,20 @@ _PII_BYTES[[*range(48, 58), 64]] = True
 
 
 def trained(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Field:
-    """A field from a bounded sample of documents that hold a digit or `@`; only their candidates' lines reach the driver."""
+    """A field from a bounded sample of documents that hold a digit or `@`; the driver gets distinct examples with counts."""
     some = docs.where(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("t"), F.xxhash64(F.lit(11), key, text).alias("h"))
     some = about(some, F.col("h"), SAMPLE, some.count())
-    # Lines without candidates add nothing: what is left is short.
-    lines = F.array_join(F.filter(F.split("t", "\n"), lambda x: x.rlike("[0-9@]")), "\n")
-    return fit(r["t"] for r in some.select(F.substring(lines, 1, SAMPLE_CHARS).alias("t"), "h").orderBy("h").toLocalIterator())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                rows, times = np.unique(np.array(examples(t.as_py()), np.int64).reshape(-1, len(_EXAMPLE)), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in rows.T), pa.array(times)], names=[*_EXAMPLE, "n"])
+
+    found = some.select("t").mapInArrow(run, ", ".join(f"{c} long" for c in (*_EXAMPLE, "n"))).groupBy(*_EXAMPLE).agg(F.sum("n").alias("n")).toArrow()
+    found = found.sort_by([(c, "ascending") for c in _EXAMPLE])
+    rows = np.stack([found.column(c).to_numpy() for c in _EXAMPLE], 1) if found.num_rows else np.zeros((0, len(_EXAMPLE)), np.int64)
+    return fit(rows, found.column("n").to_numpy())
 
 
 def find_personal_data(docs: DataFrame, field: Field, *, text: str = "text") -> tuple[DataFrame, str]:
@@ -362,10 +425,24 @@ def personal_data_digest(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col(name)).alias("spans"))
 
 
+def masked(text: str, spans: list[Span]) -> str:
+    """The text with its spans replaced by their kinds; of spans that overlap the first stands for all."""
+    pieces, done = [], 0
+    for kind, s, e in spans:
+        if s >= done:
+            pieces += [text[done:s], f"<{kind}>"]
+        done = max(done, e)
+    return "".join([*pieces, text[done:]])
+
+
 def mask_personal_data(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """docs with every span replaced by its kind in angle brackets."""
-    out, name = find_personal_data(docs, trained(docs, text), text=text)
-    # From the last span to the first, so that earlier positions stay right; overlapping spans are merged by the position reached.
-    step = lambda acc, s: F.when(s["end"] <= acc["at"], F.struct(F.concat(F.substring(acc["t"], F.lit(1), s["start"].cast("int")), F.lit("<"), s["kind"], F.lit(">"), acc["t"].substr(s["end"].cast("int") + 1, F.length(acc["t"]))).alias("t"), s["start"].alias("at"))).otherwise(acc)
-    masked = F.aggregate(F.reverse(F.col(name)), F.struct(text_or_empty(text).alias("t"), F.length(text_or_empty(text)).cast("long").alias("at")), step, lambda acc: acc["t"])
-    return out.withColumn(text, F.when(F.size(name) > 0, masked).otherwise(F.col(text))).drop(name)
+    """docs with every span replaced by its kind in angle brackets; nulls stay null."""
+    held = docs.sparkSession.sparkContext.broadcast(trained(docs, text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            new = [t if not t or not _MARK.search(t) else masked(t, all_spans(t, held.value)[1]) for t in (x.as_py() for x in batch.column(at))]
+            yield batch.set_column(at, text, pa.array(new, batch.column(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
