@@ -1,31 +1,38 @@
 """Token ids in seekable files of independent zstandard frames.
 
 File format (public zstd seekable format): zstandard frames of little-endian
-unsigned 32-bit ids, each frame holding whole documents; a skippable frame with
-the document index (doc_id, frame, number of ids); and the seek table, a skippable
-frame with each frame's compressed size, raw size and checksum (low 32 bits of
-XXH64 of the raw bytes), ended by the number of frames, a flag byte and the magic
-number. Any zstandard tool can decompress the file; a reader of single documents
-reads the tail, then only the frames that hold them.
+unsigned 32-bit ids, each frame holding whole documents; skippable frames with the
+document index (doc_id, frame, number of ids), `INDEX_DOCS` documents each; and the
+seek table, a skippable frame with each frame's compressed size, raw size and checksum
+(low 32 bits of XXH64 of the raw bytes), ended by the number of frames, a flag byte and
+the magic number. Any zstandard tool can decompress the file; a reader of single
+documents reads the tail and the index, then only the frames that hold them.
 
 Writing: one range shuffle by doc_id, one sort inside partitions, one file for each
-partition, in the shared folder. Files are written under a name of the attempt and
-moved into place, so retried or doubled tasks leave one whole file. Reading back
-checks every checksum. Global offsets are prefix sums over the files (one row each)
-and over the documents of a file as they stream by.
-
-Encoding goes through a bounded cache of white-space separated pieces: the
-tokenizer's normaliser and splitter never look across white space (checked against
-whole-text encoding in the tests), and pieces repeat far more than texts do. Pieces
-are told apart by 64-bit hashes.
+partition, in the shared folder; there are as many as makes a file about `FILE_BYTES`
+of text, but not fewer than shuffle partitions. A file's name holds the number of the
+attempt that wrote it, and the table of files, which Spark commits, names those of the
+attempts that count; so retried or doubled tasks do no harm on any file system. Writer
+and reader hold one frame and one part of the index. Reading back checks every checksum.
+Global offsets are prefix sums over the files (one row each) and over the documents of a
+file as they stream by.
+
+Encoding goes through a bounded cache of white-space separated pieces where the
+tokenizer's normaliser and splitter are those of `_BY_PIECES`, which never look across
+white space (checked against whole-text encoding in the tests): pieces repeat far more
+than texts do. Pieces are told apart by 64-bit hashes. Texts for any other tokenizer
+file are encoded whole.
 
 Nulls and empty texts have no ids but the end id. A null doc_id is stored with a
-flag and comes first. Rows of one doc_id are ordered by the hash of their text.
-Extra columns are ignored. An empty table makes empty files and an empty result.
+flag and comes first. Rows of one doc_id are ordered by the hash of their text. A very
+long text is encoded whole and is a frame of its own; one of over 4 GB of ids, which no
+Spark string gives, is refused before anything of it is written. Extra columns are
+ignored. An empty table makes empty files and an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -47,6 +54,8 @@ from .shared import new_folder
 END_ID = 2
 #: Raw bytes after which a frame is closed; a longer document is a frame of its own.
 FRAME_BYTES = 1 << 20
+#: Documents that one part of the index holds, and the bytes of text that a file is made for, about.
+INDEX_DOCS, FILE_BYTES = 1 << 18, 1 << 28
 #: Pieces that a worker's cache may hold, and the longest ids that are kept.
 CACHE_PIECES, CACHE_BYTES = 700_000, 256
 #: Bytes of text that are split and looked up at once.
@@ -63,6 +72,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# The normaliser and splitter (parts of a tokenizer file) that work on each white-space separated piece alone,
+# fold A-Z, and set off a comma or full stop after a letter.
+_BY_PIECES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+)
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -79,6 +94,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        splitter = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+        self.by_pieces = (parts.get("normalizer"), splitter[0]) == _BY_PIECES
+        #: Names of special tokens aren't folded and mean one id.
+        self.special = [t["content"].encode() for t in parts.get("added_tokens") or []]
         self.cache: dict[int, bytes] = {}
         self.old: dict[int, bytes] = {}
         self.tails = [self._whole(x) for x in ",."]
@@ -109,7 +130,7 @@ class Encoder:
 
     def _block(self, block: tb.Block) -> list[bytes]:
         raw = block.raw.tobytes()
-        if b"<|" in raw:  # names of special tokens aren't folded and mean one id
+        if not self.by_pieces or any(t in raw for t in self.special):
             return [self._whole(block.text(r)) for r in range(block.hi - block.lo)]
         w = tb.words(block, tb.NONSPACE)
         if not len(w.starts):
@@ -172,16 +193,22 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 class FrameWriter:
     """Writes documents' ids to an open stream as independent frames."""
 
-    def __init__(self, out: Any) -> None:
-        self.out, self.frames, self.index = out, [], []
+    def __init__(self, out: Any, index_docs: int = INDEX_DOCS) -> None:
+        self.out, self.frames, self.index_docs = out, [], index_docs
+        self.rows: list[tuple[int, bool, int, int]] = []
+        self.index: list[bytes] = []
         self.held: list[bytes] = []
         self.size = 0
         self.packer = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True)
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
+        if len(ids) >= 2**32:
+            raise ValueError("a document of over 4 GB of ids doesn't fit a frame")
         if self.size and self.size + len(ids) > FRAME_BYTES:
             self._close_frame()
-        self.index.append((doc_id or 0, doc_id is None, len(self.frames), len(ids) // 4))
+        self.rows.append((doc_id or 0, doc_id is None, len(self.frames), len(ids) // 4))
+        if len(self.rows) == self.index_docs:
+            self._close_index()
         self.held.append(ids)
         self.size += len(ids)
 
@@ -193,14 +220,18 @@ class FrameWriter:
             self.frames.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
         self.held, self.size = [], 0
 
+    def _close_index(self) -> None:
+        """The index's rows so far as one compressed part; a few bytes for each document stay in memory until the end."""
+        if self.rows:
+            self.index.append(self.packer.compress(np.array(self.rows, _INDEX).tobytes()))
+        self.rows = []
+
     def finish(self) -> None:
         self._close_frame()
-        index = zstandard.ZstdCompressor(level=LEVEL).compress(np.array(self.index, _INDEX).tobytes())
-        self.out.write(struct.pack("<II", INDEX_MAGIC, len(index)) + index)
-        # Sizes of 64 bits, as a frame with one giant document may pass 32 bits: entries are 32-bit in the format.
-        if any(a >= 2**32 or b >= 2**32 for a, b, _ in self.frames):
-            raise ValueError("a document of over 4 GB of ids doesn't fit a frame")
-        body = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, SEEK_MAGIC)
+        self._close_index()
+        for part in self.index:
+            self.out.write(struct.pack("<II", INDEX_MAGIC, len(part)) + part)
+        body = np.array(self.frames, "<u4").tobytes() + struct.pack("<IBI", len(self.frames), 0x80, SEEK_MAGIC)
         self.out.write(struct.pack("<II", TABLE_MAGIC, len(body)) + body)
 
 
@@ -214,23 +245,26 @@ class FrameReader:
         n, flags, magic = struct.unpack("<IBI", source.read(9))
         if magic != SEEK_MAGIC or flags != 0x80:
             raise ValueError("no seek table with checksums")
-        begin = size - 9 - 12 * n - 8
-        source.seek(begin)
+        self.end = size - 9 - 12 * n - 8
+        source.seek(self.end)
         head = source.read(8 + 12 * n)
         if struct.unpack("<II", head[:8]) != (TABLE_MAGIC, 12 * n + 9):
             raise ValueError("broken seek table")
         self.frames = np.frombuffer(head[8:], "<u4").reshape(n, 3).astype(np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.frames[:, 0])))
-        at = int(self.starts[-1])
-        source.seek(at)
-        magic, length = struct.unpack("<II", source.read(8))
-        if magic != INDEX_MAGIC or at + 8 + length != begin:
-            raise ValueError("broken document index")
-        raw = zstandard.ZstdDecompressor().decompress(source.read(length), max_output_size=1 << 31)
-        self.index = np.frombuffer(raw, _INDEX)
-        self.first = np.searchsorted(self.index["frame"], np.arange(n + 1))
         self.opened = 0
 
+    def index(self) -> Iterator[np.ndarray]:
+        """The document index, part by part."""
+        at = int(self.starts[-1])
+        while at < self.end:
+            self.source.seek(at)
+            magic, length = struct.unpack("<II", self.source.read(8))
+            if magic != INDEX_MAGIC or at + 8 + length > self.end:
+                raise ValueError("broken document index")
+            yield np.frombuffer(zstandard.ZstdDecompressor().decompress(self.source.read(length)), _INDEX)
+            at += 8 + length
+
     def frame(self, i: int) -> bytes:
         """The raw bytes of a frame, checked."""
         self.source.seek(int(self.starts[i]))
@@ -240,27 +274,30 @@ class FrameReader:
         self.opened += 1
         return raw
 
-    def documents(self, frames: Iterator[int] | None = None) -> Iterator[tuple[int | None, bytes]]:
-        """(doc_id, ids) of the documents of the frames, all by default."""
-        for i in range(len(self.frames)) if frames is None else frames:
-            raw, at = self.frame(i), 0
-            for d in self.index[self.first[i] : self.first[i + 1]]:
-                n = 4 * int(d["n"])
-                yield (None if d["null"] else int(d["doc_id"])), raw[at : at + n]
-                at += n
+    def documents(self, wanted: set[int] | None = None) -> Iterator[tuple[int | None, bytes]]:
+        """(doc_id, ids) of all documents, or of those wanted: then only their frames are decompressed."""
+        held, raw, place = -1, b"", 0
+        for part in self.index():
+            take = np.ones(len(part), bool) if wanted is None else np.isin(part["doc_id"], list(wanted)) & (part["null"] == 0)
+            sizes = 4 * part["n"].astype(np.int64)
+            for i, (frame, size, here) in enumerate(zip(part["frame"].tolist(), sizes.tolist(), take.tolist())):
+                if frame != held:
+                    held, raw, place = frame, b"", 0
+                if here:
+                    raw = raw or self.frame(frame)
+                    yield (None if part["null"][i] else int(part["doc_id"][i])), raw[place : place + size]
+                place += size
 
     def read(self, doc_ids: list[int]) -> list[tuple[int, np.ndarray]]:
-        """Ids of the wanted documents; only their frames are decompressed."""
-        want = np.isin(self.index["doc_id"], doc_ids) & (self.index["null"] == 0)
-        frames = sorted({int(f) for f in self.index["frame"][want]})
-        wanted = set(doc_ids)
-        return [(d, np.frombuffer(b, "<u4")) for d, b in self.documents(iter(frames)) if d in wanted]
+        """Ids of the wanted documents."""
+        return [(d, np.frombuffer(b, "<u4")) for d, b in self.documents(set(doc_ids))]
 
 
-def write_tokens(docs: DataFrame, folder: str, *, vocabulary_path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, *, vocabulary_path: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the files and returns (part, file, n_docs, n_ids), a row for each, in order of part."""
     path = vocabulary_path or vocabulary()
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
     rows = docs.select("doc_id", F.col("text"), F.xxhash64("text").alias("tie")).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,10 +307,10 @@ def write_tokens(docs: DataFrame, folder: str, *, vocabulary_path: str | None =
         part = task.partitionId()
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
-        own = f"{base}/.{part:06d}-{task.taskAttemptId()}"
+        name = f"part-{part:06d}-{task.taskAttemptId()}.zst"
         encoder, end = encoder_for(path), struct.pack("<I", end_id)
         n_docs = n_ids = 0
-        with fs.open_output_stream(own) as out:
+        with fs.open_output_stream(f"{base}/{name}", compression=None) as out:  # by the name it would be packed twice
             writer = FrameWriter(out)
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -283,8 +320,6 @@ def write_tokens(docs: DataFrame, folder: str, *, vocabulary_path: str | None =
                         n_docs += 1
                         n_ids += len(b) // 4 + 1
             writer.finish()
-        name = f"part-{part:06d}.zst"
-        fs.move(own, f"{base}/{name}")
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     # The rows are kept as a small table beside the files: writing happens once.

@@ -404,15 +404,22 @@ def test_token_files(spark, odd, docs, none, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(token_files.vocabulary())
+    def brute(df, tok):
+        rows = [(r["doc_id"], np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for r in df.collect()]
+        return sorted((d is not None, d or 0, len(b) // 4, zlib.crc32(b)) for d, b in rows)
+
     for df in (docs, odd):
-        rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in df.collect()), key=lambda r: r[:2])
         got = sorted(token_files.token_digest(df).collect(), key=lambda r: r["start"])
-        at = 0
-        for (_, i, t), r in zip(rows, got):
-            if r["doc_id"] not in (3, 6):
-                ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
-                assert (r["doc_id"] or 0, r["start"], r["n_tokens"], r["ids_crc32"]) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
-            at += r["n_tokens"]
+        assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+        assert [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got] == sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got)
+        assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in got) == brute(df, tok)
+    # Files by bytes, and tokenizer files of other kinds.
+    folder = new_folder(spark, "t")
+    assert token_files.write_tokens(docs, folder, file_bytes=10_000).count() > 20 and token_files.read_tokens(spark.read.parquet(f"{folder}/files"), folder).count() == docs.count()
+    some, other = odd.union(spark.createDataFrame([(90, "Hello hello a, b. <|endoftext|>", "en", "a", 1)], DOCS)), token_files.vocabulary().replace("word_bpe_49k", "byte_bpe_50k")
+    folder = new_folder(spark, "t")
+    got = token_files.read_tokens(token_files.write_tokens(some, folder, vocabulary_path=other), folder).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in got) == brute(some, Tokenizer.from_file(other))
     assert token_files.token_digest(none).count() == 0
     enc = token_files.Encoder(token_files.vocabulary())
     for t in ["it's I'LL 'S <|startoftext|> a<|endoftext|>b", "İstanbul ΑΣ Σ. ﬁ\u0301 \u3000x\x85y", "a\x1cb ... .,. x. Y, Z.,", "", " "] * 2:
@@ -433,6 +440,13 @@ def test_frames(spark, docs, tmp_path):
     assert list(r.documents()) == made and len(r.frames) > 2
     r = token_files.FrameReader(io.BytesIO(out.getvalue()))
     assert [(d, x.tobytes()) for d, x in r.read([6])] == [made[6]] and r.opened == 1
+    small = io.BytesIO()
+    w = token_files.FrameWriter(small, index_docs=3)
+    for i, b in made:
+        w.add(i, b)
+    w.finish()
+    r = token_files.FrameReader(io.BytesIO(small.getvalue()))
+    assert list(r.documents()) == made and [len(p) for p in r.index()] == [3, 3, 2] and [d for d, _ in r.read([0, 5])] == [0, 5]
     broken = bytearray(out.getvalue())
     broken[len(broken) // 3] ^= 1
     with pytest.raises(Exception):
