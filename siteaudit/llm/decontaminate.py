@@ -7,7 +7,9 @@ comparing the words themselves. No shuffle. A benchmark of more windows than
 `max_windows` is scanned in blocks of that size, one pass and one checkpoint for
 each, so that neither driver nor executors ever hold more than one block.
 
-Nulls and texts without words: no hits, not contaminated. Items without words
+Nulls and texts without words: no hits, not contaminated. A very long text is scanned
+whole, in memory proportional to itself. An empty table gives an empty result, an empty
+benchmark no hits. Items without words
 have no window; null item ids count as items but not in id lists. Repeated rows
 are judged alike. Extra columns pass through untouched.
 """

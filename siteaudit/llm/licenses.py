@@ -16,8 +16,10 @@ The gram table of the templates is broadcast while it has at most `MAX_GRAMS` ro
 shuffled, only (doc_id, text hash, template, diagonal, mask).
 
 Nulls and empty texts have no words and no labels. Rows alike in doc_id and text
-get the same result each. Null doc_ids are handled like values. Extra columns are
-ignored. An empty table gives an empty result.
+get the same result each. Null doc_ids are handled like values. A very long text is
+scanned whole; its votes are added up before they are shuffled, and the diagonals of one
+template in one document, as many as places that fit, are sorted with spilling. Extra
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from .shared import ascii_lower, text_or_empty
 K = 2
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MIN_VOTES, GAP, COVER = 4, 3, 0.6
+#: Rows of the gram table that are broadcast at most.
 MAX_GRAMS = 100_000
 #: Template positions that one mask holds.
 _BITS = 62
@@ -66,7 +69,7 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
 
 
-def gram_table(spark: SparkSession, phrases: tuple = PHRASES, templates: tuple = TEMPLATES) -> DataFrame:
+def gram_table(spark: SparkSession, phrases: tuple = PHRASES, templates: tuple = TEMPLATES, max_grams: int = MAX_GRAMS) -> DataFrame:
     """(gram, check, template, label, base, exact, grams, t): a row for each gram position of each template."""
     rows = []
     for at, (text, label) in enumerate([*phrases, *templates]):
@@ -76,7 +79,7 @@ def gram_table(spark: SparkSession, phrases: tuple = PHRASES, templates: tuple =
         rows += [(at, label, at < len(phrases), at < len(phrases) or len(w) <= PHRASE_WORDS, len(w) - K + 1, t, *w[t : t + K]) for t in range(len(w) - K + 1)]
     df = spark.createDataFrame(rows, "template int, label string, base boolean, exact boolean, grams int, t int, w0 string, w1 string")
     out = df.select(_gram(F.col("w0"), F.col("w1")).alias("gram"), _check(F.col("w0"), F.col("w1")).alias("check"), "template", "label", "base", "exact", "grams", "t")
-    return F.broadcast(out) if len(rows) <= MAX_GRAMS else out
+    return F.broadcast(out) if len(rows) <= max_grams else out
 
 
 def _gram(a: Column, b: Column) -> Column:
@@ -87,12 +90,12 @@ def _check(a: Column, b: Column) -> Column:
     return F.xxhash64(F.lit(17), b, a)
 
 
-def spans(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple = TEMPLATES) -> DataFrame:
+def spans(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple = TEMPLATES, max_grams: int = MAX_GRAMS) -> DataFrame:
     """Verified spans: (doc_id, th, label, base, start, cover); start is a word position."""
     w = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), words_of(text_or_empty()).alias("w"))
     pairs = F.zip_with(F.slice(F.col("w"), F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice(F.col("w"), F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.struct(_gram(a, b).alias("g"), _check(a, b).alias("c")))
     grams = w.select("doc_id", "th", F.posexplode(pairs).alias("p", "x")).select("doc_id", "th", "p", F.col("x.g").alias("gram"), F.col("x.c").alias("c"))
-    hits = grams.join(gram_table(docs.sparkSession, phrases, templates), "gram").where("c = check")
+    hits = grams.join(gram_table(docs.sparkSession, phrases, templates, max_grams), "gram").where("c = check")
     key = ["doc_id", "th", "template", "label", "base", "exact", "grams"]
     votes = hits.groupBy(*key, (F.col("p") - F.col("t")).alias("diagonal"), F.floor(F.col("t") / _BITS).cast("int").alias("part")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t") % _BITS)).alias("mask"), F.min("p").alias("first")
@@ -109,9 +112,9 @@ def spans(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple = TEMPLATE
     return merged.withColumn("cover", F.col("n") / F.col("grams")).where(F.col("cover") >= F.when(F.col("exact"), 1.0).otherwise(COVER)).select("doc_id", "th", "label", "base", F.col("start").cast("long"), "cover")
 
 
-def scan_licenses(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple = TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple = TEMPLATES, max_grams: int = MAX_GRAMS) -> DataFrame:
     """The digest of op9: a row for each document."""
-    each = spans(docs, phrases, templates)
+    each = spans(docs, phrases, templates, max_grams)
     place = F.when(F.col("base"), F.col("start"))
     found = each.groupBy("doc_id", "th").agg(
         F.count(place).alias("n_base"), F.min(place).alias("first_word"), F.max(place).alias("last_word"),

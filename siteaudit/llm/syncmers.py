@@ -16,9 +16,11 @@ order. A text without a closed syncmer (each one shorter than k, and some of up
 none and an empty fingerprint. Likeness: 2 * common / total of the distinct anchors;
 two empty texts are alike (1).
 
-Nulls: a null text is empty; null doc_ids come last in descending order. Rows of
-one doc_id are ordered by the hash of their text. Extra columns are ignored. A
-single document is its own next one.
+Nulls: a null text is empty; null doc_ids come last in descending order, by the hash of
+their text, and are dealt over runs by it. Rows of one doc_id are ordered by the hash of
+their text and share a run, which is sorted with spilling. A very long text is cut into
+blocks like any other. Extra columns are ignored. A single document is its own next one;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -126,7 +128,10 @@ def next_documents(docs: DataFrame, run: int = RUN) -> DataFrame:
         lambda acc, _: F.when(acc["lo"] >= acc["hi"], acc).otherwise(let(F.floor((acc["lo"] + acc["hi"]) / 2).cast("int"), lambda mid: F.when(edges[mid] <= F.col("doc_id"), F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi"))))),
         lambda acc: acc["lo"],
     ) if bounds else F.lit(0)
-    placed = docs.withColumn("run", F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(F.lit(last) - found).cast("int"))
+    # Rows without an id: their ties are spread evenly, so equal ranges of them are runs, in order of the tie.
+    nulls = max(1, min((n - some) // run, MOST_RUNS))
+    place = F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * nulls).cast("int")
+    placed = docs.withColumn("run", F.when(F.col("doc_id").isNull(), F.lit(last) + F.least(place, F.lit(nulls - 1))).otherwise(F.lit(last) - found).cast("int"))
     # The first row of each run, by narrow partial sums.
     order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), (~F.col("doc_id").isNull()).alias("n"), (-F.col("tie")).alias("t"))
     heads = placed.groupBy("run").agg(F.max(order).alias("o")).withColumn("prev", F.coalesce(F.lag("run").over(Window.orderBy("run")), F.max("run").over(Window.partitionBy())))

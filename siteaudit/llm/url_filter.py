@@ -11,13 +11,16 @@ rules have a cascade each; of the candidates that are rules, the longest wins.
 
 Building needs the ground truth once: distinct universe keys, marked as listed or
 not, as 128-bit hashes in a checkpoint. Bits are combined by bit_or with partial
-aggregation; only finished filters (bounded by `max_bytes`, checked before they are
-built) reach the driver and are broadcast. Lists whose filters would be larger are
-answered by a shuffled join of candidate keys instead.
+aggregation; only finished filters reach the driver and are broadcast. A cascade that
+would pass `max_bytes` (checked before it is built) is split by a hash of the keys in
+two, and these again, so each that is built or sent has a bound; a lookup asks the one
+that its key belongs to.
 
 Nulls and urls without `://` have an empty host and path, no candidates and the
-verdict `allow`. An empty table or list is fine. Repeated rows are judged alike;
-extra columns pass through untouched.
+verdict `allow`. Of rules of one length the one with the longer path wins. A very long
+url is judged whole; its host and path are cut at the first marks. An empty table gives
+an empty result, an empty list allows all. Repeated rows are judged alike; extra columns
+pass through untouched, also those named host, path, rule or verdict.
 """
 
 from __future__ import annotations
@@ -36,8 +39,9 @@ from .shared import ascii_lower, cut, free_name
 
 # The rules of the contract, as (action, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Bytes that all filters of a cascade may take.
-MAX_BYTES = 256 << 20
+#: Bytes that all filters of a cascade may take, and the least such bound that is meant.
+MAX_BYTES, MIN_BYTES = 256 << 20, 1 << 10
+#: More levels than this are never needed unless two keys have the same 128-bit hash: then it raises.
 MAX_LEVELS = 64
 
 
@@ -129,6 +133,32 @@ def build_cascade(universe: DataFrame, *, max_bytes: int = MAX_BYTES) -> Cascade
     return out
 
 
+@dataclass
+class Cascades:
+    """Cascades of the parts of a universe: (bits, value) are the last bits of the second hash that a part's keys share."""
+
+    parts: list[tuple[int, int, Cascade]] = field(default_factory=list)
+
+    def listed(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h1), bool)
+        for bits, value, cascade in self.parts:
+            at = np.flatnonzero((h2 & np.uint64((1 << bits) - 1)) == np.uint64(value))
+            out[at] = cascade.listed(h1[at], h2[at])
+        return out
+
+
+def build_cascades(universe: DataFrame, *, max_bytes: int = MAX_BYTES, bits: int = 0, value: int = 0) -> Cascades:
+    """The cascade of a universe, in as many parts as the bound asks for."""
+    one = build_cascade(universe, max_bytes=max(max_bytes, MIN_BYTES))
+    if one is not None:
+        return Cascades([(bits, value, one)])
+    out = Cascades()
+    for bit in (0, 1):
+        half = cut(universe.where(F.expr(f"pmod(shiftright(h2, {bits}), 2) = {bit}")))
+        out.parts += build_cascades(half, max_bytes=max_bytes, bits=bits + 1, value=value | bit << bits).parts
+    return out
+
+
 def host_of(url: Column) -> Column:
     return ascii_lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
 
@@ -168,9 +198,7 @@ def judge_urls(pages: DataFrame, rules: tuple | list = RULES, *, url: str = "url
         mine = table.where(F.col("action") == action).select("k").distinct().withColumn("listed", F.lit(True))
         # Rules that no url meets are no part of the universe.
         marked = cut(seen.join(mine, "k", "left").select("h1", "h2", F.coalesce("listed", F.lit(False)).alias("listed")))
-        cascades.append(build_cascade(marked, max_bytes=max_bytes))
-    if any(c is None for c in cascades):
-        return _judged_by_join(out, table, keys, rule, verdict)
+        cascades.append(build_cascades(marked, max_bytes=max_bytes))
     held = spark.sparkContext.broadcast(cascades)
 
     @F.pandas_udf("int")
@@ -193,15 +221,6 @@ def judge_urls(pages: DataFrame, rules: tuple | list = RULES, *, url: str = "url
     return out.withColumn(rule, found).withColumn(verdict, F.when((F.col(got) >= 0) & (F.col(got) % 2 == 0), "block").otherwise("allow")).drop(keys, got)
 
 
-def _judged_by_join(out: DataFrame, table: DataFrame, keys: str, rule: str, verdict: str) -> DataFrame:
-    """The same judgement for lists too large to broadcast: distinct candidate lists joined with the rules."""
-    lists = out.select(keys).distinct()
-    best = lists.select(keys, F.posexplode(keys).alias("at", "k")).join(table, "k").groupBy(keys).agg(F.min(F.struct("at", F.col("action"), "k")).alias("b"))
-    best = best.select(F.col(keys).alias("ks"), F.col("b.k").alias(rule), F.col("b.action").alias(verdict))
-    joined = out.join(best, out[keys] == best["ks"], "left").drop("ks", keys)
-    return joined.withColumn(verdict, F.coalesce(verdict, F.lit("allow")))
-
-
 def url_digest(pages: DataFrame) -> DataFrame:
     """The digest of op1."""
     return judge_urls(pages.select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")

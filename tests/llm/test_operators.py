@@ -80,7 +80,7 @@ def test_url_filter(spark):
         fit = [(len(h + p), len(h), h + p, a) for a, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         return (host, path, max(fit)[2], max(fit)[3]) if fit else (host, path, None, "allow")
 
-    for way in (out, url_filter.judge_urls(pages, max_bytes=8)):
+    for way in (out, url_filter.judge_urls(pages, max_bytes=8), url_filter.judge_urls(pages.repartition(3))):
         for r in way.collect():
             assert (r["host"], r["path"], r["_rule"], r["verdict"]) == brute(r["url"]), r["url"]
     assert url_filter.judge_urls(pages.limit(0)).count() == 0 and url_filter.judge_urls(pages, []).where("verdict = 'block'").count() == 0
@@ -92,6 +92,20 @@ def test_cascade_is_exact(spark):
     rows = keys.toPandas()
     got = c.listed(rows.h1.to_numpy().view(np.uint64), rows.h2.to_numpy().view(np.uint64))
     assert len(c.levels) > 2 and (got == rows.listed.to_numpy()).all() and url_filter.build_cascade(keys, max_bytes=100) is None
+    # The same answers from parts under a bound.
+    parts = url_filter.build_cascades(keys, max_bytes=2_000)
+    assert len(parts.parts) > 1 and all(sum(8 * len(v.bits) for v in p.levels) <= 2_000 for _, _, p in parts.parts)
+    assert (parts.listed(rows.h1.to_numpy().view(np.uint64), rows.h2.to_numpy().view(np.uint64)) == rows.listed.to_numpy()).all()
+
+
+def test_long_urls_and_ties(spark):
+    long = "http://" + "a." * 50_000 + "net/en/" + "x" * 100_000
+    rules = (("block", "ab.net", "/x"), ("allow", "net", "/abxy"), ("block", "example.net", "/en/"))
+    pages = spark.createDataFrame([(1, long), (2, "http://ab.net/x"), (3, "http://ab.net/abxyz")], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages).collect()}
+    assert (got[1]["rule"], got[1]["verdict"], len(got[1]["host"])) == ("net/", "block", 100_003)
+    tied = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert tied == {1: (None, "allow"), 2: ("ab.net/x", "block"), 3: ("net/abxy", "allow")}
 
 
 # ---- 2 ----
@@ -155,6 +169,53 @@ def test_rare_toxic_words(spark):
     assert (word("rareslur") - {0}) <= set(model.lexicon.keys.tolist())
 
 
+def spark_hash(*values):
+    """xxhash64 of Spark: each value's bytes, seeded by the hash so far; nulls leave it as it is."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<q", v) if not isinstance(v, np.int32) else struct.pack("<i", v)
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def brute_places(rows, keys, n_shards, seed=20240229):
+    """(shard, slot) of rows of values, of which the first is the id: exact integers, no Spark."""
+    ties = [spark_hash(*r) for r in keys]
+    order = sorted(range(len(rows)), key=lambda i: (spark_hash(rows[i][0], ties[i]) % sharding.BUCKETS, rows[i][0] is not None, rows[i][0] or 0, ties[i]))
+    n = len(rows)
+    a = int(np.sqrt(max(n - 1, 0))) + 1
+    b = max(1, -(-n // a))
+
+    def once(x):
+        left, right = divmod(x, b)
+        for i in range(sharding.ROUNDS):
+            if i % 2 == 0:
+                left = (left + spark_hash(np.int32(seed), np.int32(i), right) % a) % a
+            else:
+                right = (right + spark_hash(np.int32(seed), np.int32(i), left) % b) % b
+        return left * b + right
+
+    out = [None] * n
+    for row, i in enumerate(order):
+        x = once(row)
+        while x >= n:
+            x = once(x)
+        out[i] = x % n_shards, x // n_shards
+    return out
+
+
+def test_sharding_by_hand(spark, docs, odd):
+    for df in (docs, odd):
+        rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+        want = sorted(zip([str(d) for d, _ in rows], brute_places(rows, rows, 16)))
+        assert sorted((str(r["doc_id"]), (r["shard"], r["slot"])) for r in sharding.shard_digest(df).collect()) == want
+
+
 def test_sharding(spark, odd, none):
     for n in (1, 2, 3, 5, 17, 1000):
         assert sorted(r[0] for r in spark.range(n).select(sharding.permute(F.col("id"), n, 7)).collect()) == list(range(n))
@@ -381,7 +442,21 @@ def test_texts_without_syncmers(spark, none):
     assert all(r["near_next"] == 1 and r["fingerprint"] == "" for r in syncmers.fingerprint_digest(empty).collect())
 
 
+def test_documents_without_ids_are_dealt_over_runs(spark):
+    rows = [(None, f"text number {i} " * 4) for i in range(60)] + [(i, f"other {i} " * 5) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
+    for run in (1_000, 7):
+        got = {r["text"]: r["next_text"] for r in syncmers.next_documents(df, run).collect()}
+        assert all(got[t] == order[(i + 1) % 80][1] for i, (_, t) in enumerate(order))
+
+
 def test_next_documents(spark, docs, texts):
+    import base64
+
+    low = lambda f: {f[i : i + 4] for i in range(0, len(f), 4)}
+    alike = lambda x, y: 1.0 if not x and not y else 2 * len(x & y) / (len(x) + len(y))
     order = sorted(texts, reverse=True)
     for run in (10_000, 17):
         for r in syncmers.next_documents(docs, run).collect():
@@ -397,6 +472,10 @@ def test_next_documents(spark, docs, texts):
         scanned.append((d, edited))
     again = spark.createDataFrame(scanned, "doc_id long, e string").select("doc_id", syncmers.packed(syncmers.anchors(F.col("e"))).alias("f"))
     assert all(got[r["doc_id"]]["edited_fingerprint"] == r["f"] for r in again.collect())
+    prints = {d: low(base64.b64decode(got[d]["fingerprint"])) for d in order}
+    for i, d in enumerate(order):
+        assert got[d]["near_next"] == pytest.approx(alike(prints[d], prints[order[(i + 1) % len(order)]]))
+        assert got[d]["near_edited"] == pytest.approx(alike(prints[d], low(base64.b64decode(got[d]["edited_fingerprint"]))))
 
 
 # ---- 8 ----
@@ -464,11 +543,39 @@ def test_licenses(spark, odd, docs, texts, none):
         places = [(i, label) for p, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
         return len(w), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted({x for _, x in places}))
 
-    text = {**texts}
-    for df, of in ((docs, text), (odd, None)):
-        for r in licenses.scan_licenses(df).collect():
-            if of is not None:
-                assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute(of[r["doc_id"]])
+    def votes(t):
+        """All labels and the best cover, place by place."""
+        w, found, best = re.findall(ALNUM, low(t)), set(), 0.0
+        pairs = list(zip(w, w[1:]))
+        for at, (template, label) in enumerate([*licenses.PHRASES, *licenses.TEMPLATES]):
+            v = template.split()
+            grams = list(zip(v, v[1:]))
+            by_diagonal = {}
+            for p, pair in enumerate(pairs):
+                for q, gram in enumerate(grams):
+                    if pair == gram:
+                        by_diagonal.setdefault(p - q, set()).add(q)
+            exact = at < len(licenses.PHRASES) or len(v) <= licenses.PHRASE_WORDS
+            covers = [len(x) / len(grams) for x in by_diagonal.values()]
+            if not exact:
+                covers, last, merged = [], None, set()
+                for d in sorted(d for d, x in by_diagonal.items() if len(x) >= min(licenses.MIN_VOTES, len(grams))):
+                    merged = merged | by_diagonal[d] if last is not None and d - last <= licenses.GAP else set(by_diagonal[d])
+                    covers, last = [*covers, len(merged) / len(grams)], d
+            good = [c for c in covers if c >= (1 if exact else licenses.COVER)]
+            found |= {label} if good else set()
+            best = max([best, *good])
+        return ",".join(sorted(found)), best
+
+    edited = licenses.TEMPLATES[10][0].split()
+    made = [(i, " ".join(edited[: 10 + i] + ["other"] * (i % 5) + edited[10 + i :]) + " cc by sa 4 0 gnu lesser general public license") for i in range(8)]
+    for df, of in ((docs, texts), (odd, None), (spark.createDataFrame(made, "doc_id long, text string"), dict(made))):
+        rows = {**(of or {})} or {r[0]: r[1] for r in ODD}
+        for max_grams in (licenses.MAX_GRAMS, 0):
+            for r in licenses.scan_licenses(df, max_grams=max_grams).collect():
+                t = rows[r["doc_id"]]
+                assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute(t)
+                assert (r["labels"], r["score"]) == (votes(t)[0], pytest.approx(votes(t)[1]))
     assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(none).count() == 0
     long = "x y Permission is hereby granted, free of charge, to ANY one person obtaining a copy of this software and the associated documentation files z"
     r = licenses.scan_licenses(spark.createDataFrame([(1, long), (2, "cc by cc by mit license")], "doc_id long, text string")).orderBy("doc_id").collect()
@@ -545,20 +652,116 @@ def test_components(spark):
 
 
 # ---- pipeline ----
-def test_pipeline(spark, sf, docs):
-    held, columns = docs, docs.columns
+def brute_toxic(model, text):
+    """A document's score by forward-backward over every token, one after the other."""
+    block = next(tb.blocks(pa.array([text or ""])))
+    w = tb.words(block, tb.ALNUM)
+    bins = toxicity.emissions(*toxicity.bins_of(w, model.lexicon), w.first)
+    d = model.bias + sum(model.weights[g][bins[:, g]] for g in range(toxicity.GROUPS))
+    n, m = len(d), np.exp(model.moves)
+    e = np.stack([np.ones(n), np.exp(d)], 1)
+    a, b = np.zeros((n, 2)), np.ones((n, 2))
+    for i in range(n):
+        a[i] = (a[i - 1] @ m if i else 1) * e[i]
+        a[i] /= a[i].sum()
+    for i in range(n - 2, -1, -1):
+        b[i] = m @ (e[i + 1] * b[i + 1])
+        b[i] /= b[i].sum()
+    p = (a * b / (a * b).sum(1, keepdims=True))[bins.any(1), 1] if n else np.zeros(0)
+    z = model.final @ [1, np.log1p(p.sum()), p.max(initial=0)]
+    return 1 / (1 + np.exp(-z))
+
+
+def brute_pipeline(rows, names, model, items):
+    """All stages in plain Python, over rows as dictionaries."""
+    words = lambda t, pattern: re.findall(pattern, low(t))
+    steps = {}
+    rows = steps["toxicity"] = [r for r in rows if brute_toxic(model, r["text"]) < toxicity.THRESHOLD]
+    # near duplicates
+    sets = []
+    for r in rows:
+        w = words(r["text"], SPACED)
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    first = {}
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0, spark_hash(*(rows[i][c] for c in names)))):
+        first.setdefault(group[i], i)
+    rows = steps["near_dedup"] = [r for i, r in enumerate(rows) if first[group[i]] == i]
+    # benchmark windows
+    windows = set()
+    for t in items:
+        w = words(t, ALNUM)
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(x) for x in windows}
+    held = lambda t: any(tuple(w[i : i + n]) in windows for w in [words(t, ALNUM)] for n in sizes for i in range(len(w) - n + 1))
+    rows = steps["decontamination"] = [r for r in rows if not held(r["text"])]
+    # the mix
+    size = [len(words(r["text"], SPACED)) for r in rows]
+    tie = [spark_hash(*(r[c] for c in names)) for r in rows]
+    sources = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s))
+    total = {s: sum(n for r, n in zip(rows, size) if r["source"] == s) for s in sources}
+    weight, left, target = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}, 1.5 * sum(size), {}
+    while len(target) < len(sources):
+        open_ = [s for s in sources if s not in target]
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = [s for s in open_ if share[s] >= 2 * total[s]]
+        for s in over or open_:
+            target[s] = 2 * total[s] if over else share[s]
+        left -= sum(target[s] for s in over)
+    mixed = []
+    for s in sources:
+        budget = int(target[s] + 1e-9)
+        whole = budget // total[s] if total[s] else 0
+        rest = budget - whole * total[s]
+        mine = [i for i in range(len(rows)) if rows[i]["source"] == s]
+        key = lambda i: hashlib.md5(f"7:{rows[i]['doc_id'] if rows[i]['doc_id'] is not None else f'null:{tie[i]}'}".encode()).hexdigest()
+        for i in sorted(mine, key=lambda i: (key(i), rows[i]["doc_id"] is not None, rows[i]["doc_id"] or 0, size[i], tie[i])):
+            part = max(0, min(size[i], rest))
+            rest -= size[i]
+            mixed += [rows[i]] * (whole + (part > 0 and 2 * part >= size[i]))
+    rows = steps["mixing"] = mixed
+    places = brute_places([[r["doc_id"]] for r in rows], [[r[c] for c in names] for r in rows], 16)
+    steps["sharding"] = [{**r, "shard": a, "slot": b} for r, (a, b) in zip(rows, places)]
+    return steps
+
+
+@pytest.mark.parametrize("with_odd", [False, True])
+def test_pipeline(with_odd, spark, sf, docs, odd, tmp_path):
+    columns, folder = docs.columns, f"file://{tmp_path}"
+    held = docs.unionByName(odd.withColumn("doc_id", F.col("doc_id") + 10_000).where("n_chars IS NULL OR n_chars < 10000")) if with_odd else docs
+    held.write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    model = toxicity.trained(held, spark.read.parquet(f"{sf}/labels.parquet"))
+    items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = brute_pipeline([r.asDict() for r in held.collect()], columns, model, items)
+    plain = lambda rows: sorted(str(sorted(r.items(), key=str)) for r in rows)
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, held, sf)
-        out.write.mode("overwrite").parquet(new_folder(spark, "stage"))
-        rows = out.collect()
-        if name != "sharding":
-            assert out.columns == columns
-        if name == "near_dedup":
-            classes = near_dedup.near_duplicate_classes(held).collect()
-            assert sorted(r["doc_id"] for r in rows) == sorted({r["component_id"] for r in classes})
-        if name == "decontamination":
-            bad = {r["doc_id"] for r in decontaminate.leak_report(held, spark.read.parquet(f"{sf}/benchmark.parquet")).where("contaminated").collect()}
-            assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in held.collect()} - bad
-        held = spark.createDataFrame(rows, out.schema)
-    assert held.columns == [*columns, "shard", "slot"]
-    assert corpus_pipeline.run(spark, sf).count() == held.count()
+        stage(spark, held, folder).write.parquet(f"{folder}/out-{name}")
+        held = spark.read.parquet(f"{folder}/out-{name}")
+        assert plain(r.asDict() for r in held.collect()) == plain(want[name]), name
+        assert held.columns == columns + ["shard", "slot"] * (name == "sharding")
+    assert plain(r.asDict() for r in corpus_pipeline.run(spark, folder).collect()) == plain(want["sharding"])
+
+
+def test_pipeline_of_nothing(spark, sf, none, tmp_path):
+    folder = f"file://{tmp_path}"
+    none.write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_scores_by_hand(spark, sf, docs, odd):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.trained(docs, labels)
+    for df in (docs, odd.where("doc_id IS NULL OR doc_id <> 5")):
+        texts = {(r["doc_id"], r["text"]): brute_toxic(model, r["text"]) for r in df.collect()}
+        out, score, _ = toxicity.score_documents(df, model)
+        assert all(r[score] == pytest.approx(texts[r["doc_id"], r["text"]], abs=1e-9) for r in out.collect())
+    digest = toxicity.toxicity_digest(docs, labels).collect()
+    assert all(r["predicted"] == (r["score"] >= 0.7) for r in digest) and toxicity.toxicity_digest(docs.limit(0), labels).count() == 0
