@@ -2,6 +2,12 @@
 
 Part of the subpackage siteaudit.llm. Each stage takes (spark, docs, sf_dir); all but
 the last return the columns of documents; the last adds shard and slot.
+
+On odd rows: null and empty texts aren't toxic, are no duplicates and hold no benchmark
+passage, have size 0 in the mix (as many copies as whole epochs of their source) and get
+places like others. Rows without a doc_id are judged by their texts. Of rows alike in
+every column with words one passes the near-duplicate stage. Very long texts are read
+whole by every stage. An empty table passes all stages as an empty one.
 """
 
 from __future__ import annotations
@@ -47,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", sharding_stage),
 ]
 
-#: A trained model decides the first stage, so SQL can't express the rows; the tests use a brute-force version.
+#: A trained model decides the first stage, so SQL can't express the rows; the tests work all five stages out in plain Python.
 ORACLE_SQL = None
 
 
