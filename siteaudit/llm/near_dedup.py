@@ -6,17 +6,17 @@
 2. Documents of equal sets become one class (partial aggregation, so copies by the
    million collapse before the shuffle). Classes are the nodes of what follows, known
    by the hash of their set.
-3. Classes that share a band key meet: first each with its bucket's smallest class
-   (a star: linear in the bucket). Packed signatures estimate the similarity by bit
+3. Classes that share a band key meet: first each with its bucket's least class, which
+   is a random one, as classes are hashes (a star: linear in the bucket). Packed
+   signatures estimate the similarity by bit
    counts, corrected for chance collisions of low bits; pairs far below the
    threshold go. The rest are confirmed on the full sets, recomputed from the texts.
-   Buckets that still hold several components get a further star around members
-   least by a seeded hash.
 4. Components of the confirmed links; later links join components, so only these few
    are searched again. Buckets that still hold several components are joined with
    themselves on the band key, with the estimate inside the join condition. So a pair
    that shares a band is either in one component already, far below the threshold by
-   estimate, or confirmed exactly. This last join looks, in each bucket, at every class
+   estimate, or confirmed exactly. It is done twice, first for the likely pairs, whose
+   links leave fewer of the doubtful ones. This join looks, in each bucket, at every class
    outside the bucket's largest component with every class of the bucket; only pairs
    that pass leave it. `comparisons` measures how many it looks at.
 
@@ -29,7 +29,8 @@ apart by 64-bit hashes: among a billion different texts two are taken for one wi
 probability 3 percent.
 
 Texts go only where they are compared: up to `SMALL` pairs are broadcast to the
-texts (24 bytes each), more are joined by shuffle.
+texts (24 bytes each), more are joined by shuffle; where few texts are in many pairs and
+take `TEXT_BYTES` at most, they are broadcast to the pairs instead.
 
 Nulls and empty texts have empty sets and are linked with nothing. Texts of fewer
 than k words are one shingle. Very long texts are read whole and take memory in
@@ -58,10 +59,10 @@ BANDS, ROWS = 32, 5
 MINIMA, BITS = 640, 2
 #: Longs of a packed signature.
 LONGS = MINIMA * BITS // 64
-#: Further stars of buckets with several components, at most.
-STARS = 1
 #: Pairs (or keys of rows that go) that are broadcast at most.
 SMALL = 500_000
+#: Texts that are broadcast to pairs: bytes at most, where each is in this many pairs on average.
+TEXT_BYTES, REPEATS = 16 << 20, 8
 #: Standard deviations below the threshold at which an estimate drops a pair.
 MARGIN = 4.5
 
@@ -167,18 +168,18 @@ def estimate(a: str, b: str) -> Column:
     return (_same(a, b) / F.lit(float(MINIMA)) - chance) / (1.0 - chance)
 
 
-def cutoff(threshold: float, minima: int = MINIMA) -> float:
+def cutoff(threshold: float, minima: int = MINIMA, margin: float = MARGIN) -> float:
     chance = 2.0**-BITS
     match = threshold + (1 - threshold) * chance
-    return threshold - MARGIN * float(np.sqrt(match * (1 - match) / minima)) / (1 - chance)
+    return threshold - margin * float(np.sqrt(match * (1 - match) / minima)) / (1 - chance)
 
 
-def close(a: str, b: str, threshold: float) -> Column:
+def close(a: str, b: str, threshold: float, margin: float = MARGIN) -> Column:
     """The estimate isn't below the cutoff; a first look at a fifth of the minima, with its own cutoff, spares most pairs the rest."""
     chance = 2.0**-BITS
-    least = lambda n: int(np.ceil((cutoff(threshold, n) * (1 - chance) + chance) * n - 1e-9))
+    least = lambda n, m: int(np.ceil((cutoff(threshold, n, m) * (1 - chance) + chance) * n - 1e-9))
     few = LONGS // 5 * 64 // BITS
-    return (_same(a, b, LONGS // 5) >= least(few)) & (_same(a, b) >= least(MINIMA))
+    return (_same(a, b, LONGS // 5) >= least(few, MARGIN)) & (_same(a, b) >= least(MINIMA, margin))
 
 
 def _confirm(k: int, num: int, den: int):
@@ -214,8 +215,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int, sm
 
     The text of b comes to its pairs, then goes to its a; a hot a is split by Spark's skew join.
     """
-    few = pairs.count() <= small
-    near = F.broadcast if few else lambda df: df
+    n = pairs.count()
+    near = F.broadcast if n <= small else lambda df: df
+    # The distinct texts of either side, so that no row is made for each pair twice over.
+    need = cut(pairs.select(F.col("tie_a").alias("tie")).distinct().union(pairs.select("tie_b").distinct()).distinct())
+    if 0 < REPEATS * need.count() <= n <= small:
+        # Few texts in many pairs: they are written once, and broadcast if their size allows it.
+        texts = cut(texts.join(F.broadcast(need), "tie"))
+        if texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0] <= TEXT_BYTES:
+            side = lambda s: F.broadcast(texts.withColumnsRenamed({"tie": f"tie_{s}", "text": f"text_{s}"}))
+            both = pairs.sortWithinPartitions("a").join(side("b"), "tie_b").join(side("a"), "tie_a")
+            return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, num, den), "a long, b long").distinct()
     one = texts.withColumnsRenamed({"tie": "tie_b", "text": "text_b"}).join(near(pairs), "tie_b").select("a", "b", "text_b")
     lead = texts.withColumnsRenamed({"tie": "tie_a", "text": "text_a"}).join(near(pairs.select("a", "tie_a").distinct()), "tie_a").select("a", "text_a")
     return one.join(lead, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(k, num, den), "a long, b long").distinct()
@@ -238,14 +248,6 @@ def _placed(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return shared.select("band", "node").join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
 
 
-def mixed_buckets(shared: DataFrame, labels: DataFrame, star: int) -> DataFrame:
-    """(band, node, c, lead, c_lead) of the buckets that hold several components, with a leader each."""
-    here = _placed(shared, labels)
-    lead = F.min(F.struct(F.xxhash64(F.lit(star), "node").alias("h"), F.col("node").alias("lead"), F.col("c").alias("c_lead"))).alias("l")
-    mixed = here.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), lead).where("lo != hi").select("band", "l.lead", "l.c_lead")
-    return here.join(mixed, "band")
-
-
 def outsiders(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """(band, node, c, big) of the buckets that hold several components, and the component that has most of the bucket."""
     here = _placed(shared, labels)
@@ -277,33 +279,28 @@ def components_of(signed: DataFrame, docs: DataFrame, *, k: int, num: int, den:
     buckets = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("band", "a")
     shared = cut(bands.join(buckets, "band"))
     # Sets of very different sizes can't be similar enough.
-    fits = lambda x, y: (den * F.least(f"n_{x}", f"n_{y}") >= num * F.greatest(f"n_{x}", f"n_{y}")) & close(x, y, num / den)
+    fits = lambda x, y, margin=MARGIN: (den * F.least(f"n_{x}", f"n_{y}") >= num * F.greatest(f"n_{x}", f"n_{y}")) & close(x, y, num / den, margin)
     of = lambda s: reps.select(F.col("node").alias(s), F.col("tie").alias(f"tie_{s}"), F.col("n_shingles").alias(f"n_{s}"), *wide(s))
 
-    def links_of(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The confirmed ones of pairs (a, b), and all that the estimate let through."""
-        pairs = cut(pairs.distinct().join(of("b"), "b").join(of("a"), "a").where(fits("a", "b")).select("a", "tie_a", "b", "tie_b"))
-        return cut(_verified(pairs, texts, k, num, den, small)), pairs.select("a", "b")
-
-    links, tried = links_of(shared.where("a != node").select("a", F.col("node").alias("b")))
-    labels = _relabel(None, links)
-    for star in range(1, 1 + STARS):
-        here = mixed_buckets(shared, labels, star)
-        links, more = links_of(here.where("c != c_lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")))
-        tried = tried.union(more)
-        if links.isEmpty():
-            break
-        labels = _relabel(labels, links)
-    here = outsiders(shared, labels).join(reps.select("node", F.col("n_shingles").alias("n"), "sig", "bands"), "node")
-    x, y = (here.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "c", "big", "n", "bands")), *wide(s)) for s in "xy")
-    across = (F.col("c_x") != F.col("c_y")) & ((F.col("c_y") == F.col("big_y")) | (F.col("c_x") < F.col("c_y")))
-    # Every bucket that a pair shares looks at it once; the least band gives it.
-    earlier = F.exists(F.arrays_zip("bands_x", "bands_y"), lambda z: (z["bands_x"] == z["bands_y"]) & (z["bands_x"] < x["band"]))
-    pairs = x.where("c_x != big_x").join(y, (x["band"] == y["band"]) & across & fits("x", "y") & ~earlier).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
-    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        links, _ = links_of(pairs)
-        labels = _relabel(labels, links)
+    pairs = shared.where("a != node").select("a", F.col("node").alias("b")).distinct()
+    pairs = cut(pairs.join(of("b"), "b").join(of("a"), "a").where(fits("a", "b")).select("a", "tie_a", "b", "tie_b"))
+    tried, labels = pairs.select("a", "b"), _relabel(None, cut(_verified(pairs, texts, k, num, den, small)))
+    # First the likely links, whose components leave fewer of the doubtful pairs to be confirmed; then all that the estimate can't rule out.
+    for margin in (0.0, MARGIN):
+        here = outsiders(shared, labels).join(reps.select("node", "tie", F.col("n_shingles").alias("n"), "sig", "bands"), "node")
+        x, y = (here.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "tie", "c", "big", "n", "bands")), *wide(s)) for s in "xy")
+        across = (F.col("c_x") != F.col("c_y")) & ((F.col("c_y") == F.col("big_y")) | (F.col("c_x") < F.col("c_y")))
+        # Every bucket that a pair shares looks at it once; the least band gives it.
+        earlier = F.exists(F.arrays_zip("bands_x", "bands_y"), lambda z: (z["bands_x"] == z["bands_y"]) & (z["bands_x"] < x["band"]))
+        found = x.where("c_x != big_x").join(y, (x["band"] == y["band"]) & across & fits("x", "y", margin) & ~earlier)
+        first = F.col("node_x") < F.col("node_y")
+        ends = [F.when(first, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y")).alias(n) for c, n in (("node", "a"), ("tie", "tie_a"))]
+        ends += [F.when(first, F.col(f"{c}_y")).otherwise(F.col(f"{c}_x")).alias(n) for c, n in (("node", "b"), ("tie", "tie_b"))]
+        pairs = cut(found.select(*ends).join(tried, ["a", "b"], "left_anti"))
+        links = cut(_verified(pairs, texts, k, num, den, small))
+        tried = tried.union(pairs.select("a", "b"))
+        if not links.isEmpty():
+            labels = _relabel(labels, links)
     out = reps.select("node", "least", "tie").join(labels, "node", "left")
     return out.select("node", F.coalesce("component", "node").alias("component"), "least", "tie")
 

@@ -32,10 +32,23 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting by which a query's shuffle files go when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The frame as a checkpoint in the shared folder; lost executors cost nothing but a reread."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The frame as a checkpoint in the shared folder; lost executors cost nothing but a reread.
+
+    The shuffle files that led to it are of no use then and go at once, so a job of many steps holds those of one.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    was = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEAN, was)
 
 
 def text_or_empty(name: str = "text") -> Column:
